@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.scratch import cut, materialise
 
-_STEPS = 3  # hops between two checks for the end of growth
+_STEPS = 2  # hops between two checks for the end of growth
 
 
 def _start(v: Column, seed: int, beta: float, ceiling: float) -> Column:
@@ -45,7 +45,7 @@ def _grow(edges: DataFrame, seed: int, beta: float, ceiling: float) -> DataFrame
             return state.select("v", F.col("s.c").alias("c"))
 
 
-def group_ids(pairs: DataFrame, a: str, b: str, beta: float = 0.4, seed: int = 7, max_levels: int = 60) -> DataFrame:
+def group_ids(pairs: DataFrame, a: str, b: str, beta: float = 0.1, seed: int = 7, max_levels: int = 60) -> DataFrame:
     """``vid`` and ``group_id``, the smallest vid of the group, for every end of a pair.
 
     Pairs with a null end are left out, repeated pairs and direction do not

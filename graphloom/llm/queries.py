@@ -8,7 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.components import group_ids
+from graphloom.llm.mixing import mix
+from graphloom.llm.packing import containers, pack
 from graphloom.llm.setjoin import similar_classes, similar_pairs, value_sets
+from graphloom.llm.spans import shared_chars, shared_spans
+from graphloom.llm.tokens import count_tokens
+from graphloom.llm.vectors import nearest, usable_vectors
 from graphloom.sources.tables import table
 
 
@@ -30,6 +35,17 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     return links.join(a, "a").join(b, "b").select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "shared", "n_a", "n_b")
 
 
+def p4_top5(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar other nodes of every usable vector."""
+    return nearest(usable_vectors(table(spark, sf, "hnsw_nodes")), k=5)
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of cosine 0.9 or more of which one is among the five nearest of the other."""
+    pairs = p4_top5(spark, sf).where("cosine >= 0.9")
+    return pairs.select(F.least("vid", "other").alias("vid_a"), F.greatest("vid", "other").alias("vid_b")).distinct()
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """The group of every vertex in SAME_AS edges."""
     return group_ids(table(spark, sf, "edge_ids").where("edge_type = 4"), "src", "dst")
@@ -41,7 +57,58 @@ def p6_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return groups.groupBy("size").agg(F.count("*").alias("n_groups"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_classes, p6_found, p6_sizes)}
+CAPACITY = "medium"
+
+
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their source (trimmed, lower case), size in tokens, and duplicate clusters: copies and families."""
+    docs = table(spark, sf, "documents")
+    clusters = F.array_compact(F.array(F.xxhash64("text"), F.xxhash64(F.lit("family"), F.when(F.col("family_id").isNotNull(), F.col("family_id")))))
+    clusters = F.when(F.col("family_id").isNull(), F.slice(clusters, 1, 1)).otherwise(clusters)
+    return docs.select(
+        F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("source"), clusters.alias("clusters"), count_tokens(F.col("text")).alias("size")
+    )
+
+
+def _capacity(spark: SparkSession, sf: str) -> int:
+    return table(spark, sf, "containers").where(F.col("container_kind") == CAPACITY).first()["capacity_tokens"]
+
+
+def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in containers of 2048 tokens, copies and family members apart."""
+    return pack(_sized(spark, sf), _capacity(spark, sf)).select(F.col("id").alias("doc_id"), F.col("piece").alias("piece_no"), F.col("size").alias("n_tokens"), "container")
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """How well the containers of ``p7_pack`` are filled."""
+    capacity = _capacity(spark, sf)
+    return containers(pack(_sized(spark, sf), capacity), capacity)
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of the mix and how often each is used."""
+    selection, _ = mix(_sized(spark, sf), table(spark, sf, "source_weights"))
+    return selection.select(F.col("id").alias("doc_id"), "source", F.col("size").alias("n_tokens"), "repeats")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual shares of the mix."""
+    return mix(_sized(spark, sf), table(spark, sf, "source_weights"))[1]
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters of each document that stand verbatim in another one, in runs of 160 or more."""
+    return shared_chars(shared_spans(table(spark, sf, "documents"), "doc_id", "text", 160))
+
+
+def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """The shared stretches themselves."""
+    return shared_spans(table(spark, sf, "documents"), "doc_id", "text", 160)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_top5, p6_found, p6_sizes, p7_pack, p7_containers, p8_mix, p8_shares, p9_found, p9_spans)
+}
 
 _SETS = """s as (select distinct src, dst from edge_ids where edge_type = 3 and src is not null and dst is not null),
 n as (select src, count(*) as n from s group by src)"""
@@ -51,7 +118,21 @@ e as (select v, o from ends union select o, v from ends),
 r(v, g) as (select distinct v, v from e union select e.o, r.g from r join e on r.v = e.v where r.g < e.o),
 groups as (select v as vid, min(g) as group_id from r group by v)"""
 
+_WINDOWS = """docs as (select doc_id, text, length(text) as n from documents where length(text) >= 160),
+w as (select doc_id, n, p, hash(substring(text, p, 160)) as h, hash('2' || substring(text, p, 160)) as h2
+  from (select *, unnest(range(1, n - 158)) as p from docs)),
+k as (select h, h2 from w group by h, h2 having min(doc_id) <> max(doc_id)),
+hit as (select doc_id, p from w semi join k using (h, h2)),
+mark as (select doc_id, p, lag(p) over (partition by doc_id order by p) as q from hit)"""
+
+_COSINES = """latest as (select * from (select *, row_number() over (partition by vid order by indexed_at desc nulls last) as rn from hnsw_nodes) where rn = 1),
+u as (select vid, cast(vector as double[]) as v from latest where not coalesce(deleted, false) and len(vector) = 64
+  and len(list_filter(vector, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0),
+c as (select a.vid, b.vid as other, list_cosine_similarity(a.v, b.v) as cosine from u a join u b on a.vid <> b.vid),
+t as (select * from (select *, row_number() over (partition by vid order by cosine desc, other) as rank from c) where rank <= 5)"""
+
 SQL: dict[str, str] = {
+    "p4_found": f"with {_COSINES} select distinct least(vid, other) as vid_a, greatest(vid, other) as vid_b from t where cosine >= 0.9",
     "p2_found": f"""with {_SETS},
 i as (select a.src as src_a, b.src as src_b, count(*) as i from s a join s b on a.dst = b.dst and a.src < b.src group by 1, 2)
 select src_a, src_b from i join n x on x.src = src_a join n y on y.src = src_b where 10 * i >= 7 * (x.n + y.n - i)""",
@@ -64,4 +145,9 @@ select rep_a, rep_b, shared, x.n as n_a, y.n as n_b from i join c x on x.rep = r
 where 10 * shared >= 7 * (len(x.items) + len(y.items) - shared)""",
     "p6_found": f"with recursive {_GROUPS} select * from groups",
     "p6_sizes": f"with recursive {_GROUPS} select size, count(*) as n_groups from (select count(*) as size from groups group by group_id) group by size",
+    "p9_found": f"""with {_WINDOWS}
+select doc_id, cast(sum(case when q is null then 160 else least(160, p - q) end) as bigint) as shared_chars from mark group by doc_id""",
+    "p9_spans": f"""with {_WINDOWS},
+i as (select *, sum(case when q is null or p - q > 160 then 1 else 0 end) over (partition by doc_id order by p) as g from mark)
+select doc_id, min(p) - 1 as span_start, max(p) - min(p) + 160 as span_chars from i group by doc_id, g""",
 }
