@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from graphloom.scratch import cut, materialise
 
-_STEPS = 2  # hops between two checks for the end of growth
+_STEPS = 3  # hops between two checks for the end of growth
 
 
 def _start(v: Column, seed: int, beta: float, ceiling: float) -> Column:
@@ -28,21 +28,24 @@ def _start(v: Column, seed: int, beta: float, ceiling: float) -> Column:
 
 
 def _grow(edges: DataFrame, seed: int, beta: float, ceiling: float) -> DataFrame:
-    """``v``, ``c``: the cluster centre that reaches each vertex of ``edges`` (symmetric ``v``, ``o``) first."""
+    """``v``, ``c``: the cluster centre that reaches each vertex of ``edges`` first.
+
+    ``edges`` (``v``, ``o``, ``w``) is symmetric with one loop of length 0 at
+    every vertex, so one join and one aggregation make a hop: the loop carries
+    a vertex's own state, and the fastest offer is combined before the shuffle.
+    """
     arrival = F.struct(_start(F.col("v"), seed, beta, ceiling).alias("t"), F.col("v").alias("c"))
-    state = edges.select("v").distinct().select("v", arrival.alias("s"), F.lit(True).alias("moved"))
+    state = edges.where("w = 0").select("v", arrival.alias("s"))
     while True:
+        state = state.withColumn("was", F.col("s"))
         for _ in range(_STEPS):
-            # only vertices reached anew pass their cluster on; the fastest offer is combined before the shuffle
-            offers = (
-                edges.join(state.where("moved").select(F.col("v").alias("o"), "s"), "o")
-                .groupBy("v").agg(F.min(F.struct((F.col("s.t") + 1).alias("t"), F.col("s.c").alias("c"))).alias("offer"))
-            )
-            better = F.col("offer").isNotNull() & (F.col("offer") < F.col("s"))
-            state = state.join(offers, "v", "left").select("v", F.when(better, F.col("offer")).otherwise(F.col("s")).alias("s"), better.alias("moved"))
+            reached = edges.join(state.select(F.col("v").alias("o"), "s", "was"), "o")
+            offer = F.struct((F.col("s.t") + F.col("w")).alias("t"), F.col("s.c").alias("c"))
+            state = reached.groupBy("v").agg(F.min(offer).alias("s"), F.max(F.when(F.col("w") == 0, F.col("was"))).alias("was"))
         state = cut(state)
-        if state.where("moved").isEmpty():
+        if state.where("s < was").isEmpty():
             return state.select("v", F.col("s.c").alias("c"))
+        state = state.drop("was")
 
 
 def group_ids(pairs: DataFrame, a: str, b: str, beta: float = 0.1, seed: int = 7, max_levels: int = 60) -> DataFrame:
@@ -60,20 +63,20 @@ def group_ids(pairs: DataFrame, a: str, b: str, beta: float = 0.1, seed: int = 7
     edges = both.where("v <> o")
     levels: list[DataFrame] = []
     for level in range(max_levels):
-        edges = edges.repartition("o").persist(StorageLevel.MEMORY_AND_DISK)
         n = edges.count()
         if not n:
-            edges.unpersist()
             break
+        loops = edges.select("v").distinct().select("v", F.col("v").alias("o"), F.lit(0.0).alias("w"))
+        hops = edges.select("v", "o", F.lit(1.0).alias("w")).unionByName(loops).repartition("o").persist(StorageLevel.MEMORY_AND_DISK)
         ceiling = float(max(2, math.ceil(2 * math.log(n + 2) / beta)))  # a draw exceeds it with a chance of about 1/n^2
-        assigned = _grow(edges, seed + level, beta, ceiling)
+        assigned = _grow(hops, seed + level, beta, ceiling)
         levels.append(assigned)
         half = edges.where("v < o")
         left = half.join(assigned, "v").select(F.col("c").alias("x"), "o")
         right = left.join(assigned.withColumnsRenamed({"v": "o", "c": "y"}), "o").where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         between = right.distinct()
         upper = materialise(between.select(F.col("x").alias("v"), F.col("y").alias("o")).unionByName(between.select(F.col("y").alias("v"), F.col("x").alias("o"))), "contracted")
-        edges.unpersist()
+        hops.unpersist()
         edges = upper
     else:
         raise RuntimeError("the decomposition did not end")

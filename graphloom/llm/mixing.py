@@ -73,6 +73,7 @@ def mix(items: DataFrame, weights: DataFrame, total: int | None = None, seed: in
     names = spark.createDataFrame([(s,) for s in share], "source string")
     h = F.xxhash64("id", F.lit(seed))
     cells = F.pmod(h, F.lit(_FINE)).cast("int").alias("h1"), F.pmod(F.shiftright(h, 20), F.lit(_FINE)).cast("int").alias("h2")
+    items = materialise(items.select("id", "source", "size"), "sizes")  # sizes are computed once
     used = items.join(F.broadcast(names), "source", "left_semi").where("size > 0").select("id", "source", F.col("size").cast("bigint").alias("size"), *cells)
     used = materialise(used, "mix")
     sums = materialise(used.groupBy("source", "h1").agg(F.sum("size").alias("s"), F.count("*").alias("n")), "cells")  # at most 4096 rows a source
