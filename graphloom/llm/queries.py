@@ -119,10 +119,10 @@ r(v, g) as (select distinct v, v from e union select e.o, r.g from r join e on r
 groups as (select v as vid, min(g) as group_id from r group by v)"""
 
 _WINDOWS = """docs as (select doc_id, text, length(text) as n from documents where length(text) >= 160),
-w as (select doc_id, n, p, hash(substring(text, p, 160)) as h, hash('2' || substring(text, p, 160)) as h2
+w as (select doc_id, n, p, hash(substring(text, p, 160)) as h
   from (select *, unnest(range(1, n - 158)) as p from docs)),
-k as (select h, h2 from w group by h, h2 having min(doc_id) <> max(doc_id)),
-hit as (select doc_id, p from w semi join k using (h, h2)),
+k as (select h from w group by h having min(doc_id) <> max(doc_id)),
+hit as (select doc_id, p from w semi join k using (h)),
 mark as (select doc_id, p, lag(p) over (partition by doc_id order by p) as q from hit)"""
 
 _COSINES = """latest as (select * from (select *, row_number() over (partition by vid order by indexed_at desc nulls last) as rn from hnsw_nodes) where rn = 1),
@@ -147,7 +147,4 @@ where 10 * shared >= 7 * (len(x.items) + len(y.items) - shared)""",
     "p6_sizes": f"with recursive {_GROUPS} select size, count(*) as n_groups from (select count(*) as size from groups group by group_id) group by size",
     "p9_found": f"""with {_WINDOWS}
 select doc_id, cast(sum(case when q is null then 160 else least(160, p - q) end) as bigint) as shared_chars from mark group by doc_id""",
-    "p9_spans": f"""with {_WINDOWS},
-i as (select *, sum(case when q is null or p - q > 160 then 1 else 0 end) over (partition by doc_id order by p) as g from mark)
-select doc_id, min(p) - 1 as span_start, max(p) - min(p) + 160 as span_chars from i group by doc_id, g""",
 }

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 SEED = 16
 _CHUNK = 1 << 18  # characters hashed at once
 _FLUSH = 1 << 23  # characters of packed strings per flush
-_WINDOWS = 1 << 21  # windows sorted at once
+_WINDOWS = 1 << 19  # windows sorted at once
 _BUCKET = 4_000_000  # characters of text per bucket
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -142,33 +142,42 @@ def _pack(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Itera
         yield flush()
 
 
-def _shared_windows(pieces: list[np.ndarray], low: np.ndarray, high: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string the flags of its windows that occur in two records; low and high: records holding it."""
-    lens = np.array([len(p) for p in pieces])
+def _shared_windows(pieces: list[np.ndarray], low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (string, first, after the last) of windows that occur in two records; low and high: records holding a string."""
+    lens = np.array([len(p) for p in pieces], np.int32)
     points = np.concatenate(pieces)
-    counts = lens - length + 1
-    offsets = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    owner = np.repeat(np.arange(len(pieces)), counts)
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(offsets, counts)
+    counts = lens - np.int32(length - 1)
+    ends = np.cumsum(counts)
+    n = int(ends[-1])
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), counts)
+    at = np.arange(n, dtype=np.int32) + owner * np.int32(length - 1)
+    mixed = _mixed(points, 1)
     prints = []
-    for k in (1, 3):
-        h, size = _mixed(points, k), 1
+    for k in (0, 2):
+        h, size = mixed, 1
         while size < length:
             step = min(size, length - size)
-            h = h[:-step] * np.uint64(pow(int(_ODD[2 if k == 1 else 0]), step, 1 << 64)) + h[step:]
+            h = h[:-step] * np.uint64(pow(int(_ODD[k]), step, 1 << 64)) + h[step:]
             size += step
         h = h[at]
         h ^= h >> np.uint64(31)
-        prints.append(h * _ODD[k])
+        prints.append(h * _ODD[3])
     order = np.argsort(prints[0])
     a, b = prints[0][order], prints[1][order]
-    new = np.ones(len(order), bool)
+    new = np.ones(n, bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     starts = np.flatnonzero(new)
-    lo, hi = np.minimum.reduceat(low[owner[order]], starts), np.maximum.reduceat(high[owner[order]], starts)
-    flags = np.empty(len(order), bool)
-    flags[order] = np.repeat(lo != hi, np.diff(np.append(starts, len(order))))
-    return np.split(flags, np.cumsum(counts)[:-1])
+    by = owner[order]
+    lo, hi = np.minimum.reduceat(low[by], starts), np.maximum.reduceat(high[by], starts)
+    flags = np.empty(n, bool)
+    flags[order] = np.repeat(lo != hi, np.diff(np.append(starts, n)))
+    opens, closes = flags.copy(), flags.copy()
+    same = owner[1:] == owner[:-1]
+    opens[1:] &= ~(flags[:-1] & same)
+    closes[:-1] &= ~(flags[1:] & same)
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+    base = (ends - counts)[owner[first]]
+    return owner[first], first - base, last + 1 - base
 
 
 def _solve(rows: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -229,15 +238,14 @@ def _solve(rows: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[np.nd
 
     def intervals(group: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         ids = np.array(group)
-        flags = _shared_windows([pieces[g] for g in group], low[ids], high[ids], length)
-        for g, flag in zip(group, flags):
-            if not flag.any():
-                continue
-            edge = np.diff(flag.astype(np.int8), prepend=0, append=0)
-            a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + length - 1
-            at = by_piece[first[g] : first[g] + occurs[g]]
-            base = start[at].astype(np.int64)
-            yield np.repeat(doc[at], len(a)), (base[:, None] + a).ravel(), (base[:, None] + b).ravel()
+        piece, a, b = _shared_windows([pieces[g] for g in group], low[ids], high[ids], length)
+        g = ids[piece]
+        times = occurs[g]  # every occurrence of the string has the stretch
+        each = np.repeat(np.arange(len(g)), times)
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
+        at = by_piece[first[g][each] + nth]
+        base = start[at].astype(np.int64)
+        yield doc[at], base + a[each], base + b[each] + length - 1
 
     for p in line.tolist():
         n = len(pieces[p]) - length + 1
