@@ -35,17 +35,17 @@ def _grow(edges: DataFrame, seed: int, beta: float, ceiling: float) -> DataFrame
     a vertex's own state, and the fastest offer is combined before the shuffle.
     """
     arrival = F.struct(_start(F.col("v"), seed, beta, ceiling).alias("t"), F.col("v").alias("c"))
-    state = edges.where("w = 0").select("v", arrival.alias("s"))
+    state = edges.where("w = 0").select("v", arrival.alias("s"), F.lit(True).alias("moved"))
     while True:
-        state = state.withColumn("was", F.col("s"))
         for _ in range(_STEPS):
-            reached = edges.join(state.select(F.col("v").alias("o"), "s", "was"), "o")
+            # beside its own state a vertex is sent only what has moved in the hop before
+            reached = edges.join(state.withColumnRenamed("v", "o"), "o").where("w = 0 or moved")
             offer = F.struct((F.col("s.t") + F.col("w")).alias("t"), F.col("s.c").alias("c"))
-            state = reached.groupBy("v").agg(F.min(offer).alias("s"), F.max(F.when(F.col("w") == 0, F.col("was"))).alias("was"))
+            best = reached.groupBy("v").agg(F.min(offer).alias("s"), F.max(F.when(F.col("w") == 0, F.col("s"))).alias("own"))
+            state = best.select("v", "s", (F.col("s") < F.col("own")).alias("moved"))
         state = cut(state)
-        if state.where("s < was").isEmpty():
+        if state.where("moved").isEmpty():
             return state.select("v", F.col("s.c").alias("c"))
-        state = state.drop("was")
 
 
 def group_ids(pairs: DataFrame, a: str, b: str, beta: float = 0.1, seed: int = 7, max_levels: int = 60) -> DataFrame:
