@@ -179,7 +179,7 @@ def _unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"vid": b["vid"], "vector": [r.tobytes() for r in x.astype(np.float32)]})
 
 
-def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = 12, rerank: int = 24, cell_size: int = 256, levels: int = 4, codewords: int = 64, beam: int = 4, block: int = 8192, sample: int = SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = 16, rerank: int = 96, cell_size: int = 256, levels: int = 8, codewords: int = 64, beam: int = 4, block: int = 8192, sample: int = SAMPLE) -> DataFrame:
     """``vid``, ``other``, ``cosine``: up to ``k`` most similar other vectors of each ``vid`` (ties by the smaller vid).
 
     ``vectors`` has unique ``vid`` and usable ``vector``; other columns are
