@@ -119,7 +119,7 @@ r(v, g) as (select distinct v, v from e union select e.o, r.g from r join e on r
 groups as (select v as vid, min(g) as group_id from r group by v)"""
 
 _WINDOWS = """docs as (select doc_id, text, length(text) as n from documents where length(text) >= 160),
-w as (select doc_id, n, p, hash(substring(text, p, 160)) as h
+w as (select doc_id, n, p, md5(substring(text, p, 160)) as h
   from (select *, unnest(range(1, n - 158)) as p from docs)),
 k as (select h from w group by h having min(doc_id) <> max(doc_id)),
 hit as (select doc_id, p from w semi join k using (h)),
