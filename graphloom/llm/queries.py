@@ -42,7 +42,7 @@ def p4_top5(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of cosine 0.9 or more of which one is among the five nearest of the other."""
-    pairs = p4_top5(spark, sf).where("cosine >= 0.9")
+    pairs = nearest(usable_vectors(table(spark, sf, "hnsw_nodes")), k=5, least=0.9)
     return pairs.select(F.least("vid", "other").alias("vid_a"), F.greatest("vid", "other").alias("vid_b")).distinct()
 
 

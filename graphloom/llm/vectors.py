@@ -8,7 +8,12 @@ inner products with all codewords are looked up in a table and summed over the
 codes of every member, the sums are divided by the stored norms of the
 approximations, and the best candidates are ranked again by their true vectors.
 
+That search may miss neighbours, so it only tells how similar the k-th neighbour
+is at least.  A second search takes each query to all members but those of cells
+that lie too far away to hold anything so similar, and decides by true vectors.
+
 Codebooks are fitted on a bounded sample; every vector is encoded and is a query.
+Copies of one vector are one member, with the least vids that hold it.
 """
 
 from __future__ import annotations
@@ -155,6 +160,99 @@ def _search_cells(batches: Iterator[pd.DataFrame], books, k: int, rerank: int, d
             yield from _search(*ready, int(part["cell"].iloc[0]), part["vid"].to_numpy(), _matrix(part["vector"], np.float32, dim), books.value, k, rerank)
 
 
+def _unit(raw: np.ndarray) -> np.ndarray:
+    """Vectors of length one, as float64; the length is taken from the vector itself."""
+    x = raw.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _bounds(x: np.ndarray, coarse: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least distance that a member of each cell can have from each of ``x``; ``cell`` is the cell of ``x``.
+
+    Members are between ``low`` and ``high`` away from their centre, and on
+    their side of the plane halfway to the centre of ``x``, but for rounding.
+    """
+    x, c = x.astype(np.float64), coarse.astype(np.float64)
+    square = (c * c).sum(1)
+    d2 = np.maximum((x * x).sum(1)[:, None] - 2 * (x @ c.T) + square, 0)
+    apart = np.sqrt(np.maximum(square[cell][:, None] - 2 * (c[cell] @ c.T) + square, 1e-12))
+    plane = (d2 - d2[np.arange(len(x)), cell][:, None] - 2e-5) / (2 * apart)
+    d = np.sqrt(d2)
+    return np.maximum(plane, np.maximum(d - high, low - d))
+
+
+def _complete(members: tuple, q_ids: np.ndarray, raw: np.ndarray, bars: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The ``k + 1`` best vids among the members for each query, if their cosine reaches the query's bar."""
+    ids, vids, exact, rough = members
+    sizes = np.array([len(v) for v in vids])
+    starts, flat = np.cumsum(sizes) - sizes, np.concatenate(vids)
+    slack = (raw.shape[1] + 8) * 2.0**-23  # rounding of float32
+    for lo in range(0, len(q_ids), 256):
+        own, q = q_ids[lo : lo + 256], _unit(raw[lo : lo + 256])
+        row, col = np.divmod(np.flatnonzero(q.astype(np.float32) @ rough.T >= (bars[lo : lo + 256, None] - slack).astype(np.float32)), len(ids))
+        take = (own[row] != ids[col]) | (sizes[col] > 1)
+        row, col = row[take], col[take]
+        cosine = np.empty(len(row))
+        for at in range(0, len(row), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            cosine[part] = (q[row[part]] * exact[col[part]]).sum(1)
+        # few members of a row are needed; those below its k + 1 best members are not
+        order = np.lexsort((ids[col], -cosine, row))
+        row, col, cosine = row[order], col[order], cosine[order]
+        first = np.searchsorted(row, row)
+        keep = cosine >= cosine[np.minimum(first + k, np.searchsorted(row, row, "right") - 1)]
+        row, col, cosine = row[keep], col[keep], cosine[keep]
+        each = np.repeat(np.arange(len(row)), sizes[col])
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(sizes[col]) - sizes[col], sizes[col])
+        row, other, cosine = row[each], flat[starts[col][each] + nth], cosine[each]
+        order = np.lexsort((other, -cosine, row))
+        row, other, cosine = row[order], other[order], cosine[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) <= k
+        yield pd.DataFrame({"vid": own[row[keep]], "other": other[keep], "cosine": cosine[keep]})
+
+
+def _complete_units(batches: Iterator[pd.DataFrame], k: int, dim: int) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by unit, members before queries; members of a unit are bounded, queries stream."""
+    current, members, ready = None, [], None
+
+    def prepare() -> tuple:
+        pdf = pd.concat(members)
+        exact = _unit(_matrix(pdf["vector"], np.float32, dim))
+        return pdf["vid"].to_numpy(), pdf["vids"].to_list(), exact, exact.astype(np.float32)
+
+    for batch in batches:
+        unit = batch["unit"].to_numpy()
+        role = batch["role"].to_numpy()
+        cuts = np.flatnonzero((unit[1:] != unit[:-1]) | (role[1:] != role[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(unit)]):
+            if hi == lo:
+                continue
+            part = batch.iloc[lo:hi]
+            if unit[lo] != current:
+                current, members, ready = unit[lo], [], None
+            if role[lo] == 0:
+                members.append(part)
+                continue
+            ready = ready or prepare()
+            yield from _complete(ready, part["vid"].to_numpy(), _matrix(part["vector"], np.float32, dim), part["bar"].to_numpy(), k)
+
+
+def _units(coarse: np.ndarray, sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """First unit and number of units of each cell: neighbouring cells share a unit of at most ``block``, a larger cell has several."""
+    near = _nearest(coarse, _centres(coarse, min(len(coarse), ceil(sizes.sum() / block)), np.random.default_rng(3)))[:, 0]
+    first, count = np.zeros(len(sizes), np.int32), np.maximum(-(-sizes // block), 1).astype(np.int32)
+    unit, room = -1, 0
+    for c in np.argsort(near, kind="stable"):
+        if count[c] > 1:
+            first[c], unit, room = unit + 1, unit + count[c], 0
+        else:
+            if sizes[c] > room or unit < 0:
+                unit, room = unit + 1, block
+            first[c] = unit
+            room -= sizes[c]
+    return first, count
+
+
 def usable_vectors(nodes: DataFrame, dim: int = 64, vid: str = "vid", vector: str = "vector", deleted: str = "deleted", seen: str = "indexed_at") -> DataFrame:
     """``vid`` and ``vector`` (array<float>) of the states that count.
 
@@ -169,33 +267,37 @@ def usable_vectors(nodes: DataFrame, dim: int = 64, vid: str = "vid", vector: st
     return latest.where(~F.col("s.deleted") & (F.size("s.vector") == dim) & fine).select("vid", F.col("s.vector").alias("vector"))
 
 
-def _unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Vectors of length one, as bytes of float32; the length is taken from the vector itself."""
+def _bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Vectors as bytes of float32; zeros have no sign, so that equal vectors are equal bytes."""
     for b in batches:
         if len(b):
-            x = np.stack(b["vector"].to_numpy()).astype(np.float64)
-            x /= np.abs(x).max(1)[:, None]
-            x /= np.linalg.norm(x, axis=1)[:, None]
-            yield pd.DataFrame({"vid": b["vid"], "vector": [r.tobytes() for r in x.astype(np.float32)]})
+            x = np.stack(b["vector"].to_numpy()).astype(np.float32) + np.float32(0)
+            yield pd.DataFrame({"vid": b["vid"], "vector": [r.tobytes() for r in x]})
 
 
-def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = 16, rerank: int = 96, cell_size: int = 256, levels: int = 8, codewords: int = 64, beam: int = 4, block: int = 8192, sample: int = SAMPLE) -> DataFrame:
-    """``vid``, ``other``, ``cosine``: up to ``k`` most similar other vectors of each ``vid`` (ties by the smaller vid).
+def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = 16, rerank: int = 96, cell_size: int = 256, levels: int = 8, codewords: int = 64, beam: int = 4, block: int = 8192, sample: int = SAMPLE, least: float = -2.0) -> DataFrame:
+    """``vid``, ``other``, ``cosine``: the ``k`` most similar other vectors of each ``vid`` (ties by the smaller vid).
 
     ``vectors`` has unique ``vid`` and usable ``vector``; other columns are
     ignored.  Equal vectors are neighbours of cosine 1 like any others.  There
     are ``n / cell_size`` cells, at most ``MAX_CELLS``; a cell of more than
     ``block`` members is searched in blocks, so cells that hold a third of all
-    vectors are still bounded work.  No vectors, or one, give no rows.
+    vectors are still bounded work.  ``probes`` and ``rerank`` bound the first
+    search only, the result is exact.  Neighbours below the cosine ``least``
+    are not sought.  No vectors, or one, give no rows.
     """
     spark: SparkSession = vectors.sparkSession
-    unit = materialise(vectors.select("vid", "vector").mapInPandas(_unit, "vid bigint, vector binary"), "unit")
-    n = unit.count()
-    if n < 2:
+    raw = materialise(vectors.select("vid", "vector").mapInPandas(_bytes, "vid bigint, vector binary"), "raw")
+    if len(raw.head(2)) < 2:
         return spark.createDataFrame([], "vid bigint, other bigint, cosine double")
-    drawn = unit.select("vector").orderBy(F.xxhash64("vid"), "vid").limit(sample).toPandas()
+    # a member stands for all copies; beyond k + 1 vids no more of them can be neighbours
+    nth = F.row_number().over(Window.partitionBy("vector").orderBy("vid"))
+    least_vids = raw.withColumn("nth", nth).where(F.col("nth") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vid")).alias("vids"))
+    distinct = materialise(least_vids.select(F.col("vids")[0].alias("vid"), "vids", "vector"), "distinct")
+    n = distinct.count()
+    drawn = distinct.select("vector").orderBy(F.xxhash64("vid"), F.col("vids")[0]).limit(sample).toPandas()
     cells = max(1, min(MAX_CELLS, ceil(n / cell_size), max(1, len(drawn) // 8)))
-    books = fit(_matrix(drawn["vector"], np.float32, dim), cells, levels, codewords)
+    books = fit(_unit(_matrix(drawn["vector"], np.float32, dim)), cells, levels, codewords)
     shared = spark.sparkContext.broadcast(books)  # at most (MAX_CELLS + levels * codewords) * dim floats
     visit = min(probes, cells)
 
@@ -203,13 +305,18 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = 16, rer
         for b in batches:
             for lo in range(0, len(b), 2048):
                 part = b.iloc[lo : lo + 2048]
-                x = _matrix(part["vector"], np.float32, dim)
+                x = _unit(_matrix(part["vector"], np.float32, dim)).astype(np.float32)
                 cell, codes, near = encode(x, shared.value, beam)
                 norm = np.maximum(np.linalg.norm(near, axis=1), 1e-6).astype(np.float32)
                 visits = _nearest(x, shared.value.coarse, visit)
-                yield pd.DataFrame({"vid": part["vid"].to_numpy(), "vector": part["vector"].to_numpy(), "cell": cell, "codes": [c.tobytes() for c in codes], "norm": norm, "visits": list(visits)})
-
-    index = materialise(unit.mapInPandas(encoded, "vid bigint, vector binary, cell int, codes binary, norm float, visits array<int>"), "index")
+                away = np.linalg.norm(x.astype(np.float64) - shared.value.coarse[cell], axis=1)
+                yield pd.DataFrame({"vid": part["vid"].to_numpy(), "vids": part["vids"].to_numpy(), "raw": part["vector"].to_numpy(), "vector": [r.tobytes() for r in x], "cell": cell, "away": away, "codes": [c.tobytes() for c in codes], "norm": norm, "visits": list(visits)})
+
+    index = materialise(distinct.mapInPandas(encoded, "vid bigint, vids array<bigint>, raw binary, vector binary, cell int, away double, codes binary, norm float, visits array<int>"), "index")
+    known = index.groupBy("cell").agg(F.count("*").alias("m"), F.min("away").alias("low"), F.max("away").alias("high")).toPandas()  # at most MAX_CELLS rows
+    filled = known["cell"].to_numpy()
+    size, low, high = np.zeros(cells, np.int64), np.zeros(cells), np.zeros(cells)
+    size[filled], low[filled], high[filled] = known["m"], known["low"] - 1e-5, known["high"] + 1e-5
     sizes = index.groupBy("cell").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / block).cast("int")).select("cell", "blocks")
     sizes = F.broadcast(sizes)  # at most MAX_CELLS rows
     members = index.join(sizes, "cell").select(
@@ -225,4 +332,35 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = 16, rer
         .mapInPandas(lambda it: _search_cells(it, shared, k, rerank, dim), "vid bigint, other bigint, cosine double")
     )
     best = Window.partitionBy("vid").orderBy(F.desc("cosine"), "other")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("vid", "other", "cosine")
+    reached = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("vid", (F.col("cosine") - 1e-6).alias("reached"))
+    bar = F.greatest(F.when(F.size("vids") > k, 1.0).otherwise(F.coalesce("reached", F.lit(-2.0))), F.lit(float(least)))
+    first, count = _units(books.coarse, size, block)
+    plan = spark.sparkContext.broadcast((first, count, size > 0, low, high))
+
+    def planned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first, count, filled, low, high = plan.value
+        for b in batches:
+            for lo in range(0, len(b), 1024):
+                part = b.iloc[lo : lo + 1024]
+                cell, bars = part["cell"].to_numpy(), part["bar"].to_numpy()
+                x = _unit(_matrix(part["vector"], np.float32, dim)).astype(np.float32)
+                # with float32 rounding, the distance at which a vector has the cosine of the bar
+                far = np.sqrt(np.maximum(2 - 2 * bars, 0) + 4e-5)
+                near = (_bounds(x, shared.value.coarse, cell, low, high) <= far[:, None]) & filled
+                units = [np.unique(np.concatenate([np.arange(first[c], first[c] + count[c]) for c in np.flatnonzero(r)])) if (count[r] > 1).any() else np.unique(first[r]) for r in near]
+                yield pd.DataFrame({"vid": part["vid"].to_numpy(), "vids": part["vids"].to_numpy(), "vector": part["vector"].to_numpy(), "bar": bars, "home": first[cell], "blocks": count[cell], "units": units})
+
+    asks = index.select("vid", "vids", F.col("raw").alias("vector"), "cell").join(reached, "vid", "left").select("vid", "vids", "vector", "cell", bar.alias("bar"))
+    asks = materialise(asks.mapInPandas(planned, "vid bigint, vids array<bigint>, vector binary, bar double, home int, blocks int, units array<int>"), "asks")
+    members = asks.select((F.col("home") + F.pmod(F.xxhash64("vid"), F.col("blocks"))).cast("int").alias("unit"), F.lit(0).alias("role"), "vid", "vids", "vector", "bar")
+    asked = asks.select(F.explode("units").alias("unit"), F.lit(1).alias("role"), "vid", F.lit(None).cast("array<bigint>").alias("vids"), "vector", "bar")
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * int((first + count).max()))  # few units share a task
+    found = (
+        members.unionByName(asked).repartition(spread, "unit").sortWithinPartitions("unit", "role")
+        .mapInPandas(lambda it: _complete_units(it, k, dim), "vid bigint, other bigint, cosine double")
+    )
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+    near = found.groupBy("vid").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "other"))).alias("near"))
+    alike = raw.join(distinct.select(F.col("vid").alias("rep"), "vector"), "vector").select("rep", F.col("vid").alias("own"))
+    each = alike.join(near, F.col("rep") == F.col("vid")).select("own", F.explode(F.expr(f"slice(filter(near, x -> x.other <> own), 1, {k})")).alias("x"))
+    return each.select(F.col("own").alias("vid"), F.col("x.other").alias("other"), (-F.col("x.far")).alias("cosine")).where(F.col("cosine") >= least)

@@ -84,6 +84,28 @@ def test_vectors_reach_the_recall(spark):
     assert nearest(usable_vectors(nodes.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.3, 1e-3])
+def test_vectors_are_exact_inside_a_dense_group(spark, noise):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2400, 64))
+    x[::3] = x[0] + noise * rng.normal(size=(800, 64))  # a third are near copies
+    x[1:60:3] = x[1]  # twenty equal vectors
+    x[4] = x[1] * 2
+    x = x.astype(np.float32)
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vid bigint, vector array<float>")
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    top = np.lexsort((np.tile(np.arange(len(x)), (len(x), 1)), -s.round(13)), axis=1)[:, :5]
+    want = {(a, b) for a in range(len(x)) for b in top[a].tolist()}
+    for block in (8192, 200):
+        got = nearest(nodes, k=5, block=block).toPandas()
+        assert len(got) == 5 * len(x) and set(zip(got.vid, got.other)) == want
+    got = nearest(nodes, k=5, least=0.9).toPandas()
+    assert set(zip(got.vid, got.other)) == {(a, b) for a, b in want if s[a, b] >= 0.9}
+
+
 def test_beam_encoding_is_no_worse_than_greedy():
     x = np.random.default_rng(7).normal(size=(500, 16)).astype(np.float32)
     books = fit(x, 8, levels=3, codewords=16)
