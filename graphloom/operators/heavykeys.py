@@ -74,11 +74,12 @@ def _partials(batches: Iterator[pa.RecordBatch], n_keys: int, n_ids: int) -> Ite
         yield emit([[k] for k in open_key], [rows], [runs], 1, last)
 
 
-def key_counts(df: DataFrame, keys: Sequence[str], identity: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+def key_counts(df: DataFrame, keys: Sequence[str], identity: Sequence[str] = (), partitions: int | None = None, nullable: Sequence[str] = ()) -> DataFrame:
     """``keys``, ``n_rows`` and ``n_distinct`` identities per key.
 
     ``keys`` and ``identity`` are integer columns of ``df``; other columns are
-    ignored.  Rows with a null key or a null in ``identity`` are left out.
+    ignored.  Rows with a null key or a null in ``identity`` are left out; in
+    the columns of ``identity`` that are ``nullable``, null is a value like others.
     Repeated rows count in ``n_rows`` and not in ``n_distinct``.  An empty
     input gives no rows.  A key may hold any part of the input: its rows are
     spread over as many partitions as its share asks for.
@@ -86,8 +87,10 @@ def key_counts(df: DataFrame, keys: Sequence[str], identity: Sequence[str] = (),
     keys, identity = list(keys), list(identity)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = [F.col(c).cast("bigint").alias(f"k{i}") for i, c in enumerate([*keys, *identity])]
-    rows = df.select(*ids).dropna()
+    ids = [F.coalesce(F.col(c).cast("bigint"), F.lit(0)) if c in nullable and i >= len(keys) else F.col(c).cast("bigint") for i, c in enumerate([*keys, *identity])]
+    if nulls := [F.col(c).isNull().cast("bigint") * (1 << i) for i, c in enumerate(identity) if c in nullable]:
+        ids.append(sum(nulls[1:], nulls[0]))  # tells nulls from zeros
+    rows = df.select(*(c.alias(f"k{i}") for i, c in enumerate(ids))).dropna()
     order = [f"k{i}" for i in range(len(ids))]
     # the position splits runs of equal identities; it is fixed by file split and row, also on a retry
     spread = rows.withColumn("pos", F.monotonically_increasing_id()).repartitionByRange(n, *order, "pos")
@@ -96,7 +99,7 @@ def key_counts(df: DataFrame, keys: Sequence[str], identity: Sequence[str] = (),
         + [T.StructField("rows", T.LongType()), T.StructField("runs", T.LongType()), T.StructField("part", T.IntegerType())]
         + [T.StructField("side", T.IntegerType()), T.StructField("id", T.ArrayType(T.LongType()))]
     )
-    n_keys, n_ids = len(keys), len(identity)
+    n_keys, n_ids = len(keys), len(ids) - len(keys)
     partial = spread.sortWithinPartitions(*order).mapInArrow(lambda it: _partials(it, n_keys, n_ids), schema)
     # a run that goes on over a boundary was counted on both sides; a key has at most two boundary rows per partition
     boundary = F.when(F.col("part").isNotNull(), F.struct("part", "side", "id"))

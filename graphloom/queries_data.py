@@ -72,7 +72,7 @@ def p3_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _degrees(spark: SparkSession, sf: str) -> DataFrame:
-    return key_counts(table(spark, sf, "edge_ids"), ["src"], ["edge_type", "edge_rank", "dst"])
+    return key_counts(table(spark, sf, "edge_ids"), ["src"], ["edge_type", "edge_rank", "dst"], nullable=["edge_type", "edge_rank"])
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.heavykeys import key_counts
 from graphloom.operators.orphans import OrphanLedger, parents, references
+from graphloom.queries_data import p5_degrees, p5_found
 from graphloom.streaming.changefeed import ChangeFeed, replay
 from tests.conftest import rows
 
@@ -73,6 +74,16 @@ def test_heavy_keys_equal_a_plain_count(spark):
     assert key_counts(df.limit(0), ["k"]).count() == 0
 
 
+def test_edges_without_type_or_rank_count_in_the_degree(spark, tmp_path):
+    r = random.Random(5)
+    data = [(r.choice([None, 1, 1, 2]), r.choice([None, 0, 1]), r.choice([None, 0, 3]), r.choice([None, 8, 9])) for _ in range(600)]
+    spark.createDataFrame(data, "src bigint, edge_type int, edge_rank bigint, dst bigint").write.parquet(str(tmp_path / "edge_ids.parquet"))
+    whole = [d for d in data if None not in (d[0], d[3])]
+    degrees = {s: len({d for d in whole if d[0] == s}) for s in (1, 2)}
+    assert rows(p5_degrees(spark, str(tmp_path))) == [(s, sum(d[0] == s for d in whole), degrees[s]) for s in (1, 2)]
+    assert rows(p5_found(spark, str(tmp_path))) == sorted(degrees.items())
+
+
 def _t(day):
     return None if day is None else datetime(2024, 1, day)
 
