@@ -216,20 +216,20 @@ def dense_order(edges: DataFrame) -> DataFrame:
     return first.select("v", (F.row_number().over(Window.orderBy("p")) - 1).alias("i"))
 
 
-def _sources(edges: DataFrame) -> tuple[DataFrame, int, float]:
-    """All vertices of a small graph; else 32 pivots evenly spaced in dense order, with the factor to scale by."""
+def _sources(edges: DataFrame, exact: bool) -> tuple[DataFrame, int, float]:
+    """All vertices if ``exact`` or the graph is small; else 32 pivots evenly spaced in dense order, with the factor to scale by."""
     nodes = vertices(edges)
     n = nodes.count()
-    if n <= EXACT_VERTICES:
+    if exact or n <= EXACT_VERTICES:
         return nodes.select(F.col("v").alias("start")), n, 1.0
     at = [i * n // PIVOTS for i in range(PIVOTS)]
     return dense_order(edges).where(F.col("i").isin(at)).select(F.col("v").alias("start")), n, n / PIVOTS
 
 
-def closeness(edges: DataFrame) -> DataFrame:
-    """Harmonic closeness over outgoing paths; sampled by pivots beyond ``EXACT_VERTICES``."""
-    starts, n, _ = _sources(edges)
-    exact = n <= EXACT_VERTICES
+def closeness(edges: DataFrame, exact: bool = False) -> DataFrame:
+    """Harmonic closeness over outgoing paths; sampled by pivots beyond ``EXACT_VERTICES`` unless ``exact``."""
+    starts, n, _ = _sources(edges, exact)
+    exact = exact or n <= EXACT_VERTICES
     walk = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if exact else edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
     found = distances(starts, walk, n).where("depth > 0")
     key = "start" if exact else "end"
@@ -238,13 +238,13 @@ def closeness(edges: DataFrame) -> DataFrame:
     return vertices(edges).join(near, "v", "left").select(F.col("v").alias("vertex_id"), (F.coalesce("s", F.lit(0.0)) / by).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, normalized: bool = True) -> DataFrame:
-    """Shortest-path betweenness of directed edges; parallel edges multiply paths.
+def betweenness(edges: DataFrame, normalized: bool = True, exact: bool = False) -> DataFrame:
+    """Shortest-path betweenness of directed edges; parallel edges multiply paths; sampled as in ``closeness``.
 
     Path counts are gathered level by level from every source, then the
     dependencies are summed back from the farthest level.
     """
-    starts, n, scale = _sources(edges)
+    starts, n, scale = _sources(edges, exact)
     hops = materialise(edges.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count("*").cast("double").alias("m")), "hops")
     levels = [cut(starts.select("start", F.col("start").alias("v"), F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("start", "v")

@@ -44,8 +44,8 @@ _GRAPH: dict[str, tuple[Callable[[DataFrame, Arguments], DataFrame], tuple[str,
     "algo.lpa": (lambda e, a: communities.lpa(e, int(_one(a, 10, "max_iter", "iterations"))), ("max_iter",)),
     "algo.kcore": (lambda e, a: graph.kcore(e), ()),
     "algo.trianglecount": (lambda e, a: graph.triangles(e), ()),
-    "algo.betweenness": (lambda e, a: graph.betweenness(e, bool(_one(a, True, "normalized"))), ("normalized",)),
-    "algo.closeness": (lambda e, a: graph.closeness(e), ()),
+    "algo.betweenness": (lambda e, a: graph.betweenness(e, bool(_one(a, True, "normalized")), bool(_one(a, False, "exact"))), ("normalized", "exact")),
+    "algo.closeness": (lambda e, a: graph.closeness(e, bool(_one(a, False, "exact"))), ("exact",)),
     "algo.degree": (lambda e, a: graph.degree(e), ()),
     "algo.sssp": (lambda e, a: graph.sssp(e, int(_one(a, 1, "source"))), ("source",)),
     "algo.similarity": (lambda e, a: graph.similarity(e, int(_one(a, 1, "node1")), int(_one(a, 2, "node2"))), ("node1", "node2")),

@@ -121,12 +121,12 @@ def sssp(spark, sf):
 @_add("closeness", f"""with recursive {_USERS}, r(s, v, d) as (select v, v, 0 from n union select r.s, e.dst, d + 1 from r join e on e.src = r.v where d < 6),
 m as (select s, v, min(d) as d from r group by s, v) select n.v as vertex_id, round(coalesce(sum(1.0 / m.d), 0) / ((select count(*) from n) - 1), 6) as closeness from n left join m on m.s = n.v and m.d > 0 group by n.v""")
 def closeness(spark, sf):
-    return graph.closeness(user_next(spark, sf)).withColumn("closeness", F.round("closeness", 6))
+    return graph.closeness(user_next(spark, sf), exact=True).withColumn("closeness", F.round("closeness", 6))
 
 
 @_add("betweenness")
 def betweenness(spark, sf):
-    return graph.betweenness(user_next(spark, sf)).withColumn("betweenness", F.round("betweenness", 6))
+    return graph.betweenness(user_next(spark, sf), exact=True).withColumn("betweenness", F.round("betweenness", 6))
 
 
 @_add("kcore")
