@@ -143,12 +143,12 @@ def similarity(spark, sf):
 
 @_add("lpa_sync")
 def lpa_sync(spark, sf):
-    return communities.lpa(part_next(spark, sf), 5)
+    return communities.lpa(part_next(spark, sf))
 
 
 @_add("louvain")
 def louvain(spark, sf):
-    return communities.louvain(part_next(spark, sf), 5)
+    return communities.louvain(part_next(spark, sf))
 
 
 def _vector_query(metric: str, sql: str) -> None:
