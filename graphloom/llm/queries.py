@@ -147,4 +147,7 @@ where 10 * shared >= 7 * (len(x.items) + len(y.items) - shared)""",
     "p6_sizes": f"with recursive {_GROUPS} select size, count(*) as n_groups from (select count(*) as size from groups group by group_id) group by size",
     "p9_found": f"""with {_WINDOWS}
 select doc_id, cast(sum(case when q is null then 160 else least(160, p - q) end) as bigint) as shared_chars from mark group by doc_id""",
+    "p9_spans": f"""with {_WINDOWS},
+island as (select doc_id, p, sum(case when q is null or p - q > 160 then 1 else 0 end) over (partition by doc_id order by p) as i from mark)
+select doc_id, min(p) - 1 as span_start, max(p) - min(p) + 160 as span_chars from island group by doc_id, i""",
 }

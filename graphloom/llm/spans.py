@@ -1,13 +1,23 @@
 """Long spans that stand verbatim in more than one record.
 
-Every window of ``length`` characters belongs to the bucket of its minimiser,
-the smallest hash among the ``SEED``-character substrings of the window.  A run
-of consecutive windows with one minimiser (a super-k-mer) travels as one packed
-string; the strings a task sends to one bucket are compressed together.  In the
-bucket equal strings are merged, the windows of minimisers that occur in one
-record only are passed over, and the rest are sorted by 128-bit fingerprints:
-a window is shared when its group holds two records.  Characters are code
+Every window of ``length`` characters belongs to its minimiser, the substring
+of ``SEED`` characters with the smallest hash in it.  A run of consecutive
+windows with one minimiser (a super-k-mer) travels as one packed string to the
+bucket of the minimiser; the strings that a task sends to one bucket are
+compressed together.  In the bucket equal strings are merged, minimisers that
+occur in one record only are passed over, and the windows of the rest are
+sorted: a window is shared when its group holds two records.  Groups are formed
+by a hash and then compared character by character.  Characters are code
 points; nothing is normalised.
+
+Hot spots are taken apart before they travel.  Equal strings within a flush are
+sent once, and when two records hold one, its stretch is known to be shared and
+is reported there and then.  Minimisers are counted first; the windows of a
+heavy one are routed by where the minimiser stands in the window (in steps of
+``_STEP`` characters) and by the characters that all windows of such a step
+have in common.  Equal windows agree in all of that and still meet, while
+different surroundings part.  What is still heavy then, counted again with
+equal strings merged, travels as single windows routed by all their characters.
 """
 
 from __future__ import annotations
@@ -22,13 +32,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 16
+HEAVY = 300_000  # windows of one minimiser beyond which they are routed apart
+_STEP = 16  # positions of a heavy minimiser that are routed together
+_BITS = 20  # of a packed minimum for the position
+_SEGMENT = 1 << 19  # windows of one text hashed at once
 _CHUNK = 1 << 18  # characters hashed at once
 _FLUSH = 1 << 23  # characters of packed strings per flush
 _WINDOWS = 1 << 19  # windows sorted at once
 _BUCKET = 4_000_000  # characters of text per bucket
+_PARTITIONS = 10_000  # beyond so many buckets, several share a task
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+_NONE = np.empty(0, np.uint64)
 _PACKED = pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("packed", pa.binary())])
+_COUNTS = pa.schema([("v", pa.int64()), ("n", pa.int64())])
 
 
 def _points(text: str) -> np.ndarray:
@@ -43,22 +60,27 @@ def _mixed(points: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
+def _polynomial(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
+    """Hashes of all substrings of ``size`` elements, modulo 2**64; doubled up from single elements."""
+    have = 1
+    while have < size:
+        step = min(have, size - have)
+        h = h[:-step] * np.uint64(pow(int(base), step, 1 << 64)) + h[step:]
+        have += step
+    return h
+
+
 def window_minimisers(points: np.ndarray, length: int) -> np.ndarray:
-    """The minimiser hash of every window; empty if there is none."""
+    """For every window the hash of its minimiser (44 bits) and the position of its first occurrence, packed; at most 2**20 points."""
     n = len(points) - length + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     seed = min(SEED, length)
-    h, size = _mixed(points, 0), 1
-    while size < seed:
-        step = min(size, seed - size)
-        power = np.uint64(pow(int(_ODD[2]), step, 1 << 64))
-        # the hash of [i, i+size) extended by the last `step` characters; overlaps stay position-dependent
-        h = h[:-step] * power + h[step:]
-        size += step
+    h = _polynomial(_mixed(points, 0), seed, _ODD[2])
     h ^= h >> np.uint64(31)
     h *= _ODD[1]
     h ^= h >> np.uint64(30)
+    h = (h & ~np.uint64((1 << _BITS) - 1)) | np.arange(len(h), dtype=np.uint64)
     span, have = length - seed + 1, 1
     while have < span:
         step = min(have, span - have)
@@ -67,106 +89,244 @@ def window_minimisers(points: np.ndarray, length: int) -> np.ndarray:
     return h[:n]
 
 
-def _runs(texts: list[str], length: int) -> tuple[str, np.ndarray, ...]:
-    """Super-k-mers of a chunk of texts: the joined text, document index, start, windows, minimiser."""
+def _segments(ids: list, texts: list[str], length: int) -> Iterator[tuple[int, int, str]]:
+    """Record, offset and text of pieces with at most ``_SEGMENT`` windows; long texts are cut with an overlap."""
+    for i, t in zip(ids, texts):
+        for at in range(0, max(len(t) - length + 1, 0), _SEGMENT):
+            yield i, at, t[at : at + _SEGMENT + length - 1] if len(t) > _SEGMENT else t
+
+
+def _windows(texts: list[str], length: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined text and for every window its text, its position in the joined text, and its packed minimiser."""
     joined = "".join(texts)
     lens = np.array([len(t) for t in texts], np.int64)
-    offsets = np.concatenate([[0], np.cumsum(lens)])
     mins = window_minimisers(_points(joined), length)
     counts = np.maximum(lens - length + 1, 0)
-    doc = np.repeat(np.arange(len(texts)), counts)
-    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    at = np.arange(counts.sum()) - np.repeat(first, counts) + np.repeat(offsets[:-1], counts)
-    vals = mins[at]
-    new = np.ones(len(at), bool)
-    new[1:] = (vals[1:] != vals[:-1]) | (doc[1:] != doc[:-1])
-    starts = np.flatnonzero(new)
-    n_windows = np.diff(np.append(starts, len(at)))
-    return joined, doc[starts], at[starts] - offsets[doc[starts]], at[starts], n_windows, vals[starts]
+    owner = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(np.cumsum(lens) - lens, counts)
+    return joined, owner, at, mins[at]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Records, offsets and texts of about ``_CHUNK`` characters."""
+    ids, offsets, texts, size = [], [], [], 0
+    for batch in batches:
+        for i, at, text in _segments(batch.column(0).to_pylist(), batch.column(1).to_pylist(), length):
+            if size and size + len(text) > 1 << _BITS:
+                yield ids, offsets, texts
+                ids, offsets, texts, size = [], [], [], 0
+            ids.append(i)
+            offsets.append(at)
+            texts.append(text)
+            size += len(text)
+            if size >= _CHUNK:
+                yield ids, offsets, texts
+                ids, offsets, texts, size = [], [], [], 0
+    if texts:
+        yield ids, offsets, texts
+
+
+def _counts(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Windows per key."""
+    order = np.argsort(key)
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    return pa.RecordBatch.from_arrays([pa.array(key[order][first].view(np.int64)), pa.array(np.add.reduceat(n[order].astype(np.int64), first))], schema=_COUNTS)
+
+
+def _count(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Windows per minimiser, summed up per chunk."""
+    for _, _, texts in _chunks(batches, length):
+        v = _windows(texts, length)[3] >> np.uint64(_BITS)
+        yield _counts(v, np.ones(len(v)))
+
+
+def _count_steps(batches: Iterator[pa.RecordBatch], length: int, heavy) -> Iterator[pa.RecordBatch]:
+    """Windows per routing key of heavy minimisers, equal strings of a flush counted once."""
+    held: list[tuple] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        key, n, whole = (np.concatenate([h[i] for h in held]) for i in range(3))
+        once = np.unique(whole, return_index=True)[1]
+        return _counts(key[once], n[once])
+
+    for _, _, texts in _chunks(batches, length):
+        joined, _, at, n, key, hot = _runs(texts, length, *heavy.value)
+        if hot.any():
+            at, n, key = at[hot], n[hot], key[hot]
+            h = _polynomial(_mixed(_points(joined), 1), length, _ODD[0])
+            held.append((key, n, (h[at] * _ODD[1] + h[at + n - 1]) * _ODD[3] + n.astype(np.uint64)))
+            size += int(n.sum()) + len(n) * (length - 1)
+        if size >= _FLUSH:
+            yield flush()
+            held, size = [], 0
+    if held:
+        yield flush()
+
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each of ``x`` is in the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
-def _pack(batches: Iterator[pa.RecordBatch], length: int, buckets: int) -> Iterator[pa.RecordBatch]:
+
+def _mix(key: np.ndarray) -> np.ndarray:
+    key = key ^ (key >> np.uint64(29))
+    key *= _ODD[3]
+    return key ^ (key >> np.uint64(32))
+
+
+def _runs(texts: list[str], length: int, heavy: np.ndarray, hotter: np.ndarray = _NONE) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Super-k-mers of a chunk: the joined text, and of each run its text, position, windows, routing key and whether its minimiser is heavy."""
+    joined, owner, at, packed = _windows(texts, length)
+    v = packed >> np.uint64(_BITS)
+    new = np.ones(len(at), bool)
+    new[1:] = (v[1:] != v[:-1]) | (owner[1:] != owner[:-1])
+    starts = np.flatnonzero(new)
+    hot = _among(v[starts], heavy)
+    key = _mix(v[starts] * _ODD[0])
+    if hot.any():  # runs of heavy minimisers are cut into steps
+        step = min(_STEP, length)
+        each = np.repeat(hot, np.diff(np.append(starts, len(at))))
+        w = np.flatnonzero(each)
+        spot = (packed[w] & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+        block = (spot - at[w]) // step
+        cut = np.ones(len(w), bool)
+        cut[1:] = (np.diff(w) > 1) | (spot[1:] != spot[:-1]) | (block[1:] != block[:-1])
+        new[w] |= cut
+        starts = np.flatnonzero(new)
+        hot = each[starts]
+        key = _mix(v[starts] * _ODD[0])
+        common = _polynomial(_mixed(_points(joined), 1), length - step + 1, _ODD[2])  # of the characters that all windows of a step have
+        cut = np.flatnonzero(new[w])
+        key[hot] = _mix(key[hot] ^ (common[spot[cut] - block[cut] * step] + block[cut].astype(np.uint64)))
+        if (far := hot & _among(key, hotter)).any():  # single windows by all their characters
+            run = np.cumsum(new) - 1
+            new |= far[run]
+            starts = np.flatnonzero(new)
+            run = run[starts]
+            key, hot, far = key[run], hot[run], far[run]
+            first = at[starts[far]]
+            key[far] = _mix(common[first] * _ODD[1] + common[first + step - 1])
+    return joined, owner[starts], at[starts], np.diff(np.append(starts, len(at))), key, hot
+
+
+def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping or touching intervals of one record made one."""
+    if not len(doc):
+        return doc, a, b
+    order = np.lexsort((a, doc))
+    doc, a, b = doc[order], a[order], b[order]
+    first = np.ones(len(doc), bool)
+    first[1:] = doc[1:] != doc[:-1]
+    lift = np.cumsum(first) << 32  # keeps the running maximum of one record apart from the next
+    reach = np.maximum.accumulate(b + lift)
+    first[1:] |= a[1:] + lift[1:] > reach[:-1]
+    at = np.flatnonzero(first)
+    return doc[at], a[at], (reach - lift)[np.append(at[1:], len(doc)) - 1]
+
+
+def _pack(batches: Iterator[pa.RecordBatch], length: int, buckets: int, heavy) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
-    ids: list[np.ndarray] = []
-    texts: list[str] = []
-    held: list[tuple[str, np.ndarray, ...]] = []
-    held_chars = chunk_chars = 0
-
-    def chunk() -> None:
-        nonlocal held_chars, chunk_chars
-        joined, doc, start, at, n, v = _runs(texts, length)
-        held.append((joined, np.array(ids, np.int64)[doc], start, at, n, v))
-        held_chars += int(n.sum()) + len(n) * (length - 1)
-        ids.clear()
-        texts.clear()
-        chunk_chars = 0
+    held: list[tuple] = []
+    held_chars = 0
 
     def flush() -> pa.RecordBatch:
-        nonlocal held_chars
-        docs, starts, ns, vs = (np.concatenate([h[i] for h in held]) for i in (1, 2, 4, 5))
+        docs, starts, ns, keys = (np.concatenate([h[i] for h in held]) for i in (1, 2, 4, 5))
         where = np.concatenate([np.full(len(h[1]), i) for i, h in enumerate(held)])
         ats = np.concatenate([h[3] for h in held])
-        own = (vs % np.uint64(buckets)).astype(np.int32)
+        own = (keys % np.uint64(buckets)).astype(np.int32)
         order = np.argsort(own, kind="stable")
-        cuts = np.flatnonzero(np.diff(own[order])) + 1
-        names, metas, packs = [], [], []
-        for part in np.split(order, cuts):
-            if not len(part):
-                continue
-            pieces = [held[w][0][a : a + n + length - 1] for w, a, n in zip(where[part].tolist(), ats[part].tolist(), ns[part].tolist())]
-            names.append(int(own[part[0]]))
-            d = docs[part]
+        names, metas, packs, shared = [], [], [], []
+        for part in np.split(order, np.flatnonzero(np.diff(own[order])) + 1):
+            number: dict[str, int] = {}
+            sid = np.array([number.setdefault(held[w][0][a : a + n + length - 1], len(number)) for w, a, n in zip(where[part].tolist(), ats[part].tolist(), ns[part].tolist())])
+            line = np.argsort(sid, kind="stable")
+            first = np.flatnonzero(np.diff(sid[line], prepend=-1))
+            d, s = docs[part], starts[part]
+            low, high = np.minimum.reduceat(d[line], first), np.maximum.reduceat(d[line], first)
+            known = (low != high)[sid]  # in two records already: shared from end to end
+            if known.any():
+                shared.append((d[known], s[known], s[known] + ns[part][known] + length - 1))
+            keep = ~known
+            keep[line[first]] = True
+            e = np.flatnonzero(keep)
+            told = known[e]
             meta = b"".join([
-                (vs[part] >> np.uint64(32)).astype(np.uint32).tobytes(), np.diff(d, prepend=0).astype(np.int64).tobytes(),
-                starts[part].astype(np.int32).tobytes(), ns[part].astype(np.int32).tobytes(),
+                np.array([len(e), len(number)], np.int64).tobytes(), np.diff(np.where(told, low[sid[e]], d[e]), prepend=0).astype(np.int64).tobytes(),
+                np.where(told, high[sid[e]] - low[sid[e]], 0).astype(np.int64).tobytes(), np.where(told, -1, s[e]).astype(np.int32).tobytes(), sid[e].astype(np.int32).tobytes(),
+                (keys[part][line[first]] >> np.uint64(32)).astype(np.uint32).tobytes(), ns[part][line[first]].astype(np.int32).tobytes(),
             ])
+            names.append(int(own[part[0]]))
             metas.append(squeeze.compress(meta))
-            packs.append(squeeze.compress("".join(pieces).encode("utf-8", "surrogatepass")))
-        held.clear()
-        held_chars = 0
+            packs.append(squeeze.compress("".join(number).encode("utf-8", "surrogatepass")))
+        if shared:
+            doc, a, b = _union(*(np.concatenate([x[i] for x in shared]) for i in range(3)))
+            names.append(int(keys[0] % np.uint64(buckets)))
+            metas.append(squeeze.compress(np.concatenate([np.diff(doc, prepend=0), a, b]).astype(np.int64).tobytes()))
+            packs.append(None)
         return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(metas, pa.binary()), pa.array(packs, pa.binary())], schema=_PACKED)
 
-    for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py()
-            ids.append(i)
-            texts.append(text)
-            chunk_chars += len(text)
-            if chunk_chars >= _CHUNK:
-                chunk()
-                if held_chars >= _FLUSH:
-                    yield flush()
-    if texts:
-        chunk()
+    for ids, offsets, texts in _chunks(batches, length):
+        joined, owner, at, n, key, _ = _runs(texts, length, *heavy.value)
+        lens = np.array([len(t) for t in texts], np.int64)
+        start = at - (np.cumsum(lens) - lens)[owner] + np.array(offsets, np.int64)[owner]
+        held.append((joined, np.array(ids, np.int64)[owner], start, at, n, key))
+        held_chars += int(n.sum()) + len(n) * (length - 1)
+        if held_chars >= _FLUSH:
+            yield flush()
+            held, held_chars = [], 0
     if held_chars:
         yield flush()
 
 
+def _equal(points: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows at ``a`` and ``b`` agree in all characters."""
+    out = np.empty(len(a), bool)
+    reach = np.arange(length)
+    for lo in range(0, len(a), 4096):
+        part = slice(lo, lo + 4096)
+        out[part] = (points[a[part, None] + reach] == points[b[part, None] + reach]).all(1)
+    return out
+
+
+def _groups(points: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows in groups, and where each group starts; two are in one group if and only if they agree in all characters.
+
+    Windows of one hash are compared with the first of them.  After a window
+    that is equal to its first, the next one of the same string differs from
+    the next one there in the last character or not at all, so whole
+    comparisons are made where a match begins only.
+    """
+    h = _polynomial(_mixed(points, 1), length, _ODD[0])[at]
+    order = np.argsort(h)
+    starts = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
+    first = np.empty(len(h), np.int64)
+    first[order] = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, len(h))))
+    follows = np.zeros(len(h), bool)
+    follows[1:] = (first[1:] == first[:-1] + 1) & (owner[1:] == owner[:-1])
+    follows[1:] &= owner[first[1:]] == owner[first[:-1]]
+    other = first != np.arange(len(h))
+    tail, whole = np.flatnonzero(other & follows), np.flatnonzero(other & ~follows)
+    if (points[at[tail] + length - 1] == points[at[first[tail]] + length - 1]).all() and _equal(points, at[whole], at[first[whole]], length).all():
+        return order, starts
+    # different windows have one hash: these groups are told apart by the characters themselves
+    i = np.flatnonzero(other)
+    clash = np.isin(first, first[i[~_equal(points, at[i], at[first[i]], length)]])
+    number: dict[bytes, int] = {}
+    for j in np.flatnonzero(clash).tolist():
+        first[j] = number.setdefault(points[at[j] : at[j] + length].tobytes(), j)
+    order = np.argsort(first)
+    return order, np.flatnonzero(np.append(True, np.diff(first[order]) != 0))
+
+
 def _shared_windows(pieces: list[np.ndarray], low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches (string, first, after the last) of windows that occur in two records; low and high: records holding a string."""
-    lens = np.array([len(p) for p in pieces], np.int32)
-    points = np.concatenate(pieces)
-    counts = lens - np.int32(length - 1)
+    counts = np.array([len(p) for p in pieces], np.int32) - np.int32(length - 1)
     ends = np.cumsum(counts)
     n = int(ends[-1])
     owner = np.repeat(np.arange(len(pieces), dtype=np.int32), counts)
-    at = np.arange(n, dtype=np.int32) + owner * np.int32(length - 1)
-    mixed = _mixed(points, 1)
-    prints = []
-    for k in (0, 2):
-        h, size = mixed, 1
-        while size < length:
-            step = min(size, length - size)
-            h = h[:-step] * np.uint64(pow(int(_ODD[k]), step, 1 << 64)) + h[step:]
-            size += step
-        h = h[at]
-        h ^= h >> np.uint64(31)
-        prints.append(h * _ODD[3])
-    order = np.argsort(prints[0])
-    a, b = prints[0][order], prints[1][order]
-    new = np.ones(n, bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    starts = np.flatnonzero(new)
+    at = np.arange(n) + owner.astype(np.int64) * (length - 1)
+    order, starts = _groups(np.concatenate(pieces), at, owner, length)
     by = owner[order]
     lo, hi = np.minimum.reduceat(low[by], starts), np.maximum.reduceat(high[by], starts)
     flags = np.empty(n, bool)
@@ -183,32 +343,37 @@ def _shared_windows(pieces: list[np.ndarray], low: np.ndarray, high: np.ndarray,
 def _solve(rows: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Shared intervals (record, from, to) of one bucket."""
     unpack = zstandard.ZstdDecompressor()
-    vs, docs, starts, ns, source = [], [], [], [], []
+    docs, gaps, starts, sids, keys, ns, source = [], [], [], [], [], [], []
+    n_strings = 0
     for i, (meta, _) in enumerate(rows):
         raw = unpack.decompress(meta)
-        n = len(raw) // 20
-        vs.append(np.frombuffer(raw, np.uint32, n))
-        docs.append(np.cumsum(np.frombuffer(raw, np.int64, n, 4 * n)))
-        starts.append(np.frombuffer(raw, np.int32, n, 12 * n))
-        ns.append(np.frombuffer(raw, np.int32, n, 16 * n))
-        source.append(np.full(n, i))
-    offs = [np.concatenate([[0], np.cumsum(n.astype(np.int64) + length - 1)]) for n in ns]
-    v, doc, start = np.concatenate(vs), np.concatenate(docs), np.concatenate(starts)
-    off = np.concatenate([o[:-1] for o in offs])
-    size = np.concatenate(ns).astype(np.int64) + length - 1
-    order = np.argsort(v, kind="stable")
-    cuts = np.flatnonzero(np.diff(v[order], prepend=v[order[0]].astype(np.int64) - 1))
-    several = np.minimum.reduceat(doc[order], cuts) != np.maximum.reduceat(doc[order], cuts)
-    reach = np.diff(np.append(cuts, len(order)))
-    wanted = order[np.repeat(several, reach)]  # grouped by minimiser
+        e, s = np.frombuffer(raw, np.int64, 2).tolist()
+        docs.append(np.cumsum(np.frombuffer(raw, np.int64, e, 16)))
+        gaps.append(np.frombuffer(raw, np.int64, e, 16 + 8 * e))
+        starts.append(np.frombuffer(raw, np.int32, e, 16 + 16 * e))
+        sids.append(np.frombuffer(raw, np.int32, e, 16 + 20 * e).astype(np.int64) + n_strings)
+        keys.append(np.frombuffer(raw, np.uint32, s, 16 + 24 * e))
+        ns.append(np.frombuffer(raw, np.int32, s, 16 + 24 * e + 4 * s))
+        source.append(np.full(s, i))
+        n_strings += s
+    doc, gap, start, sid, key = (np.concatenate(x) for x in (docs, gaps, starts, sids, keys))
+    size = [n.astype(np.int64) + length - 1 for n in ns]
+    off, size, src = np.concatenate([np.cumsum(s) - s for s in size]), np.concatenate(size), np.concatenate(source)
+    # the least and the greatest record that holds each string; every string has an entry
+    line = np.argsort(sid, kind="stable")
+    first = np.flatnonzero(np.diff(sid[line], prepend=-1))
+    low, high = np.minimum.reduceat(doc[line], first), np.maximum.reduceat((doc + gap)[line], first)
+    order = np.argsort(key, kind="stable")
+    cuts = np.flatnonzero(np.diff(key[order].astype(np.int64), prepend=-1))
+    several = np.minimum.reduceat(low[order], cuts) != np.maximum.reduceat(high[order], cuts)
+    wanted = order[np.repeat(several, np.diff(np.append(cuts, len(order))))]  # grouped by key
     if not len(wanted):
         return
-    src = np.concatenate(source)
-    # equal strings are merged; a string knows the least and the greatest record that holds it
+    # equal strings of different flushes are merged
     number: dict[bytes, int] = {}
-    of = np.full(len(v), -1, np.int64)
+    piece_of = np.full(n_strings, -1, np.int64)
     pieces: list[np.ndarray] = []
-    keep = np.zeros(len(v), bool)
+    keep = np.zeros(n_strings, bool)
     keep[wanted] = True
     for i, (_, packed) in enumerate(rows):
         mine = np.flatnonzero(keep & (src == i))
@@ -216,60 +381,62 @@ def _solve(rows: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[np.nd
             continue
         points = _points(unpack.decompress(packed).decode("utf-8", "surrogatepass"))
         for j, a, n in zip(mine.tolist(), off[mine].tolist(), size[mine].tolist()):
-            piece = points[a : a + n]
-            key = piece.tobytes()
-            k = number.get(key)
-            if k is None:
-                k = number[key] = len(pieces)
-                pieces.append(np.frombuffer(key, np.uint32))
-            of[j] = k
+            raw = points[a : a + n].tobytes()
+            k = number.setdefault(raw, len(pieces))
+            if k == len(pieces):
+                pieces.append(np.frombuffer(raw, np.uint32))
+            piece_of[j] = k
     number.clear()
-    by_piece = wanted[np.argsort(of[wanted], kind="stable")]
-    first = np.flatnonzero(np.diff(of[by_piece], prepend=-1))
-    low, high = np.minimum.reduceat(doc[by_piece], first), np.maximum.reduceat(doc[by_piece], first)
-    occurs = np.diff(np.append(first, len(by_piece)))
-    # strings of one minimiser stay together in a sort
-    rank = np.full(len(pieces), len(wanted), np.int64)
-    np.minimum.at(rank, of[wanted], np.arange(len(wanted)))
-    line = np.argsort(rank, kind="stable")
-    v_of = v[by_piece[first]]
-    group: list[int] = []
-    windows = 0
-
-    def intervals(group: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        ids = np.array(group)
-        piece, a, b = _shared_windows([pieces[g] for g in group], low[ids], high[ids], length)
+    by_piece = wanted[np.argsort(piece_of[wanted], kind="stable")]
+    first = np.flatnonzero(np.diff(piece_of[by_piece], prepend=-1))
+    low, high = np.minimum.reduceat(low[by_piece], first), np.maximum.reduceat(high[by_piece], first)
+    # the occurrences of a piece whose stretches are not reported yet
+    entry = np.flatnonzero((start >= 0) & (piece_of[sid] >= 0))
+    entry = entry[np.argsort(piece_of[sid[entry]], kind="stable")]
+    occurs = np.bincount(piece_of[sid[entry]], minlength=len(pieces))
+    begin = np.cumsum(occurs) - occurs
+    # strings of one key stay together in a sort
+    key_of = key[by_piece[first]]
+
+    def intervals(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        piece, a, b = _shared_windows([pieces[g] for g in ids.tolist()], low[ids], high[ids], length)
         g = ids[piece]
-        times = occurs[g]  # every occurrence of the string has the stretch
-        each = np.repeat(np.arange(len(g)), times)
-        nth = np.arange(len(each)) - np.repeat(np.cumsum(times) - times, times)
-        at = by_piece[first[g][each] + nth]
+        each = np.repeat(np.arange(len(g)), occurs[g])
+        nth = np.arange(len(each)) - np.repeat(np.cumsum(occurs[g]) - occurs[g], occurs[g])
+        at = entry[begin[g][each] + nth]
         base = start[at].astype(np.int64)
-        yield doc[at], base + a[each], base + b[each] + length - 1
+        return doc[at], base + a[each], base + b[each] + length - 1
 
-    for p in line.tolist():
-        n = len(pieces[p]) - length + 1
-        if group and windows + n > _WINDOWS and v_of[group[-1]] != v_of[p]:
-            yield from intervals(group)
-            group, windows = [], 0
-        group.append(p)
-        windows += n
-    if group:
-        yield from intervals(group)
+    line = np.argsort(key_of, kind="stable")
+    windows = np.cumsum(np.array([len(pieces[p]) - length + 1 for p in line.tolist()]))
+    last = np.flatnonzero(np.append(np.diff(key_of[line].astype(np.int64)) != 0, True))  # ends of keys
+    done = 0
+    for at in last.tolist():
+        nxt = last[min(np.searchsorted(last, at + 1), len(last) - 1)]
+        if at == last[-1] or windows[nxt] - (windows[done - 1] if done else 0) > _WINDOWS:
+            yield intervals(line[done : at + 1])
+            done = at + 1
 
 
 def _buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     held: list[tuple[bytes, bytes]] = []
     current = None
+    unpack = zstandard.ZstdDecompressor()
+
+    def batch_of(doc, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, a, b)], ["doc_id", "a", "b"])
 
     def solved() -> Iterator[pa.RecordBatch]:
         found = list(_solve(held, length))
         if found:
-            cols = [np.concatenate([f[i] for f in found]) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "a", "b"])
+            yield batch_of(*_union(*(np.concatenate([f[i] for f in found]) for i in range(3))))
 
     for batch in batches:
         for bucket, meta, packed in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if packed is None:  # reported on the way
+                doc, a, b = np.frombuffer(unpack.decompress(meta), np.int64).reshape(3, -1)
+                yield batch_of(np.cumsum(doc), a, b)
+                continue
             if bucket != current and held:
                 yield from solved()
                 held = []
@@ -279,20 +446,36 @@ def _buckets(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield from solved()
 
 
-def shared_spans(docs: DataFrame, record: str, text: str, length: int = 160) -> DataFrame:
+def shared_spans(docs: DataFrame, record: str, text: str, length: int = 160, heavy: int = HEAVY) -> DataFrame:
     """``doc_id``, ``span_start`` (from 0) and ``span_chars``: the maximal stretches covered by shared windows.
 
     Records without an id or with a null text, or with a text shorter than
     ``length``, share nothing.  Repeats inside one record do not count; rows
     that agree in the id are one record.  Copies are compared like any other
     text; other columns are ignored, and an empty table gives no rows.
+    Minimisers of more than ``heavy`` windows are routed apart; this decides
+    where windows meet and not what comes out.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(record).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= length))
-    total = docs.agg(F.sum(F.length(text).cast("bigint"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(total / _BUCKET))
-    packed = rows.mapInArrow(lambda it: _pack(it, length, buckets), "bucket int, meta binary, packed binary")
+    total = rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
+    least = max(heavy, total >> 20)  # so each list below has less than 2**20 rows
+
+    def beyond(counts: DataFrame) -> np.ndarray:
+        found = counts.groupBy("v").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("v").toPandas()
+        return np.sort(found["v"].to_numpy(np.int64).view(np.uint64))
+
+    lot = beyond(rows.mapInArrow(lambda it: _count(it, length), "v bigint, n bigint"))
+    far = _NONE
+    if len(lot):
+        first = spark.sparkContext.broadcast((lot,))
+        far = beyond(rows.mapInArrow(lambda it: _count_steps(it, length, first), "v bigint, n bigint"))
+    lots = spark.sparkContext.broadcast((lot, far))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / _BUCKET))
+    packed = rows.mapInArrow(lambda it: _pack(it, length, buckets, lots), "bucket int, meta binary, packed binary")
+    tasks = min(buckets, _PARTITIONS)
     found = (
-        packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        packed.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks))).sortWithinPartitions("bucket")
         .mapInArrow(lambda it: _buckets(it, length), "doc_id bigint, a bigint, b bigint")
     )
     ordered = Window.partitionBy("doc_id").orderBy("a", "b")

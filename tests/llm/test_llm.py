@@ -2,9 +2,11 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.llm import spans
 from graphloom.llm.components import group_ids
 from graphloom.llm.mixing import mix, water_fill
 from graphloom.llm.packing import best_fit, containers, pack
@@ -189,8 +191,8 @@ def _brute(texts, n):
     return out
 
 
-@pytest.mark.parametrize("length", [7, 40])
-def test_shared_spans_equal_brute_force(spark, length):
+@pytest.mark.parametrize(("length", "heavy"), [(7, 300_000), (40, 300_000), (7, 2), (40, 30)])
+def test_shared_spans_equal_brute_force(spark, length, heavy):
     r = random.Random(11)
     alphabet = "abcdé中😀 \n"
     base = ["".join(r.choice(alphabet) for _ in range(r.randrange(30, 300))) for _ in range(12)]
@@ -201,10 +203,55 @@ def test_shared_spans_equal_brute_force(spark, length):
     texts += [(100, None), (101, ""), (102, "a" * 500), (103, "short"), (104, base[0]), (105, base[0]), (106, base[0])]
     texts += [(107, base[1] * 200)]
     df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id bigint, text string, a int")
-    assert dict(map(tuple, shared_chars(shared_spans(df, "doc_id", "text", length)).collect())) == _brute(texts, length)
+    assert dict(map(tuple, shared_chars(shared_spans(df, "doc_id", "text", length, heavy)).collect())) == _brute(texts, length)
     assert shared_spans(df.limit(0), "doc_id", "text").count() == 0
 
 
+def test_windows_of_one_hash_are_compared(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, other), (3, word[:1000] + "x" + word)], "doc_id bigint, text string")
+    assert rows(shared_spans(df, "doc_id", "text", 1024)) == [(1, 0, 1024), (3, 1001, 1024)]
+
+
+def test_a_heavy_minimiser_is_spread_over_buckets(monkeypatch):
+    r = random.Random(12)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(400))
+    noise = lambda: "".join(r.choice("abcdefgh ") for _ in range(300))
+    texts = [noise() + passage + noise() for _ in range(600)]
+    batch = [pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])]
+
+    class Lots:
+        value = (spans._NONE, spans._NONE)
+
+    def windows_per_key(lots):
+        load = defaultdict(int)
+        for _, _, part in spans._chunks(iter(batch), 160):
+            joined, _, at, n, key, _ = spans._runs(part, 160, *lots)
+            distinct = {(k, joined[a : a + m + 159]): m for k, a, m in zip(key.tolist(), at.tolist(), n.tolist())}
+            for (k, _), m in distinct.items():
+                load[k] += m
+        return load
+
+    def beyond(counts, least):
+        table = pa.Table.from_batches(counts).group_by("v").aggregate([("n", "sum")]).to_pydict()
+        return np.sort(np.array([v for v, n in zip(table["v"], table["n_sum"]) if n > least], np.int64).view(np.uint64))
+
+    class First:
+        value = (beyond(spans._count(iter(batch), 160), 2000),)
+
+    far = beyond(spans._count_steps(iter(batch), 160, First), 2000)
+    loads = [max(windows_per_key(lots).values()) for lots in (Lots.value, First.value, (*First.value, far))]
+    assert len(First.value[0]) and len(far) and loads[0] > 10_000 and loads[0] > loads[1] > 2000 >= loads[2]
+    # a text that many records of one flush hold is reported there and sent once
+    monkeypatch.setattr(spans, "_FLUSH", 1 << 40)
+    whole = [pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array([texts[0]] * 1000)], ["doc_id", "text"])]
+    packed = pa.Table.from_batches(spans._pack(iter(whole), 160, 4, Lots))
+    assert packed.nbytes < 10_000
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "i int, t string")
     assert [r[1] for r in df.select("i", count_tokens(F.col("t"))).orderBy("i").collect()][:3] == [2, 0, 0]
