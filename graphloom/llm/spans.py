@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 SEED = 16
 HEAVY = 300_000  # windows of one minimiser beyond which they are routed apart
-_STEP = 16  # positions of a heavy minimiser that are routed together
+_STEP = 32  # positions of a heavy minimiser that are routed together
 _BITS = 20  # of a packed minimum for the position
 _SEGMENT = 1 << 19  # windows of one text hashed at once
 _CHUNK = 1 << 18  # characters hashed at once
@@ -134,29 +134,36 @@ def _counts(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def _count(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Windows per minimiser, summed up per chunk."""
+    """Windows per minimiser, summed up per flush."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for _, _, texts in _chunks(batches, length):
         v = _windows(texts, length)[3] >> np.uint64(_BITS)
-        yield _counts(v, np.ones(len(v)))
+        starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        held.append((v[starts], np.diff(np.append(starts, len(v)))))
+        size += len(v)
+        if size >= _FLUSH:
+            yield _counts(*map(np.concatenate, zip(*held)))
+            held, size = [], 0
+    if held:
+        yield _counts(*map(np.concatenate, zip(*held)))
 
 
 def _count_steps(batches: Iterator[pa.RecordBatch], length: int, heavy) -> Iterator[pa.RecordBatch]:
-    """Windows per routing key of heavy minimisers, equal strings of a flush counted once."""
+    """Windows per routing key of heavy minimisers, strings of a flush that agree in key and both ends counted once."""
     held: list[tuple] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        key, n, whole = (np.concatenate([h[i] for h in held]) for i in range(3))
-        once = np.unique(whole, return_index=True)[1]
+        key, n, ends = (np.concatenate([h[i] for h in held]) for i in range(3))
+        once = np.unique(ends, return_index=True)[1]
         return _counts(key[once], n[once])
 
     for _, _, texts in _chunks(batches, length):
-        joined, _, at, n, key, hot = _runs(texts, length, *heavy.value)
-        if hot.any():
-            at, n, key = at[hot], n[hot], key[hot]
-            h = _polynomial(_mixed(_points(joined), 1), length, _ODD[0])
-            held.append((key, n, (h[at] * _ODD[1] + h[at + n - 1]) * _ODD[3] + n.astype(np.uint64)))
-            size += int(n.sum()) + len(n) * (length - 1)
+        n, key, ends = _runs(texts, length, *heavy.value)[3:]
+        if hot := len(ends):
+            held.append((key[-hot:], n[-hot:], ends))
+            size += hot * length
         if size >= _FLUSH:
             yield flush()
             held, size = [], 0
@@ -176,38 +183,44 @@ def _mix(key: np.ndarray) -> np.ndarray:
 
 
 def _runs(texts: list[str], length: int, heavy: np.ndarray, hotter: np.ndarray = _NONE) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Super-k-mers of a chunk: the joined text, and of each run its text, position, windows, routing key and whether its minimiser is heavy."""
+    """Super-k-mers of a chunk: the joined text, and of each run its text, position, windows and routing key.
+
+    Runs of heavy minimisers come last; of those also a hash of both ends.
+    """
     joined, owner, at, packed = _windows(texts, length)
     v = packed >> np.uint64(_BITS)
     new = np.ones(len(at), bool)
     new[1:] = (v[1:] != v[:-1]) | (owner[1:] != owner[:-1])
     starts = np.flatnonzero(new)
+    n = np.diff(np.append(starts, len(at)))
     hot = _among(v[starts], heavy)
-    key = _mix(v[starts] * _ODD[0])
+    w, runs = starts[~hot], n[~hot]
+    key, ends = _mix(v[w] * _ODD[0]), _NONE
     if hot.any():  # runs of heavy minimisers are cut into steps
         step = min(_STEP, length)
-        each = np.repeat(hot, np.diff(np.append(starts, len(at))))
-        w = np.flatnonzero(each)
-        spot = (packed[w] & np.uint64((1 << _BITS) - 1)).astype(np.int64)
-        block = (spot - at[w]) // step
-        cut = np.ones(len(w), bool)
-        cut[1:] = (np.diff(w) > 1) | (spot[1:] != spot[:-1]) | (block[1:] != block[:-1])
-        new[w] |= cut
-        starts = np.flatnonzero(new)
-        hot = each[starts]
-        key = _mix(v[starts] * _ODD[0])
+        each = np.repeat(starts[hot] - (np.cumsum(n[hot]) - n[hot]), n[hot]) + np.arange(n[hot].sum())
+        spot = (packed[each] & np.uint64((1 << _BITS) - 1)).astype(np.int64)
+        block = (spot - at[each]) // step
+        cut = np.ones(len(each), bool)
+        cut[1:] = new[each[1:]] | (spot[1:] != spot[:-1]) | (block[1:] != block[:-1])
+        cut = np.flatnonzero(cut)
+        m = np.diff(np.append(cut, len(each)))
         common = _polynomial(_mixed(_points(joined), 1), length - step + 1, _ODD[2])  # of the characters that all windows of a step have
-        cut = np.flatnonzero(new[w])
-        key[hot] = _mix(key[hot] ^ (common[spot[cut] - block[cut] * step] + block[cut].astype(np.uint64)))
-        if (far := hot & _among(key, hotter)).any():  # single windows by all their characters
-            run = np.cumsum(new) - 1
-            new |= far[run]
-            starts = np.flatnonzero(new)
-            run = run[starts]
-            key, hot, far = key[run], hot[run], far[run]
-            first = at[starts[far]]
-            key[far] = _mix(common[first] * _ODD[1] + common[first + step - 1])
-    return joined, owner[starts], at[starts], np.diff(np.append(starts, len(at))), key, hot
+        far_key = _mix(_mix(v[each[cut]] * _ODD[0]) ^ (common[spot[cut] - block[cut] * step] + block[cut].astype(np.uint64)))
+        if (far := _among(far_key, hotter)).any():  # single windows by all their characters
+            single = np.repeat(far, m)
+            lone = np.zeros(len(each), bool)
+            lone[cut] = True
+            lone |= single
+            run = (np.cumsum(np.bincount(cut, minlength=len(each))) - 1)[lone]
+            cut = np.flatnonzero(lone)
+            m, far_key, far = np.where(far[run], 1, m[run]), far_key[run], far[run]
+            first = at[each[cut[far]]]
+            far_key[far] = _mix(common[first] * _ODD[1] + common[first + step - 1])
+        first = at[each[cut]]
+        ends = _mix(far_key ^ _mix(common[first] * _ODD[1] + common[first + m - 1 + step - 1]))
+        w, runs, key = np.concatenate([w, each[cut]]), np.concatenate([runs, m]), np.concatenate([key, far_key])
+    return joined, owner[w], at[w], runs, key, ends
 
 
 def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
