@@ -13,7 +13,8 @@ from graphloom.llm.packing import containers, pack
 from graphloom.llm.setjoin import similar_classes, similar_pairs, value_sets
 from graphloom.llm.spans import shared_chars, shared_spans
 from graphloom.llm.tokens import count_tokens
-from graphloom.llm.vectors import nearest, usable_vectors
+from graphloom.llm.vectors import nearest, recall, usable_vectors
+from graphloom.scratch import materialise
 from graphloom.sources.tables import table
 
 
@@ -36,8 +37,8 @@ def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_top5(spark: SparkSession, sf: str) -> DataFrame:
-    """The five most similar other nodes of every usable vector."""
-    return nearest(usable_vectors(table(spark, sf, "hnsw_nodes")), k=5)
+    """The five most similar other nodes of every usable vector, found in the 32 nearest cells."""
+    return nearest(usable_vectors(table(spark, sf, "hnsw_nodes")), k=5, probes=32)
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,6 +47,15 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.least("vid", "other").alias("vid_a"), F.greatest("vid", "other").alias("vid_b")).distinct()
 
 
+def p4_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of the true five nearest, and of those of cosine 0.9 or more, the two searches find; every vid divisible by 20 against all."""
+    usable = materialise(usable_vectors(table(spark, sf, "hnsw_nodes")), "usable")
+    asked = usable.where("vid % 20 = 0")
+    top = recall(usable, nearest(usable, k=5, probes=32), asked, 5).withColumn("search", F.lit("top5"))
+    close = recall(usable, nearest(usable, k=5, least=0.9), asked, 5, 0.9).withColumn("search", F.lit("found"))
+    return top.unionByName(close).select("search", "n_queries", "n_true", "n_found", "recall")
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """The group of every vertex in SAME_AS edges."""
     return group_ids(table(spark, sf, "edge_ids").where("edge_type = 4"), "src", "dst")
@@ -107,7 +117,7 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_top5, p6_found, p6_sizes, p7_pack, p7_containers, p8_mix, p8_shares, p9_found, p9_spans)
+    f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_top5, p4_recall, p6_found, p6_sizes, p7_pack, p7_containers, p8_mix, p8_shares, p9_found, p9_spans)
 }
 
 _SETS = """s as (select distinct src, dst from edge_ids where edge_type = 3 and src is not null and dst is not null),

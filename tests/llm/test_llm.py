@@ -13,7 +13,7 @@ from graphloom.llm.packing import best_fit, containers, pack
 from graphloom.llm.setjoin import join_part, occurrences, similar_classes, similar_pairs, value_sets
 from graphloom.llm.spans import shared_chars, shared_spans
 from graphloom.llm.tokens import count_tokens
-from graphloom.llm.vectors import encode, fit, nearest, usable_vectors
+from graphloom.llm.vectors import encode, fit, nearest, recall, usable_vectors
 from tests.conftest import rows
 
 
@@ -76,7 +76,7 @@ def test_vectors_reach_the_recall(spark):
     data = [(i, v.tolist(), False, i, 1.0) for i, v in enumerate(x)]
     data += [(0, x[5].tolist(), False, -1, 0.0), (2000, [0.0] * 64, False, 0, 0.0), (2001, [float("nan")] * 64, False, 0, 0.0), (2002, [1.0] * 63, False, 0, 0.0), (2003, None, False, 0, None), (2004, x[3].tolist(), True, 0, 0.0), (None, x[3].tolist(), False, 0, 0.0)]
     nodes = spark.createDataFrame(data, "vid bigint, vector array<float>, deleted boolean, indexed_at bigint, norm double")
-    got = nearest(usable_vectors(nodes), k=5, block=200).toPandas()
+    got = nearest(usable_vectors(nodes), k=5, unit=200).toPandas()
     u = x / np.linalg.norm(x, axis=1)[:, None]
     s = u @ u.T
     np.fill_diagonal(s, -2)
@@ -101,13 +101,25 @@ def test_vectors_are_exact_inside_a_dense_group(spark, noise):
     np.fill_diagonal(s, -2)
     top = np.lexsort((np.tile(np.arange(len(x)), (len(x), 1)), -s.round(13)), axis=1)[:, :5]
     want = {(a, b) for a in range(len(x)) for b in top[a].tolist()}
-    for block in (8192, 200):
-        got = nearest(nodes, k=5, block=block).toPandas()
+    for unit, coarse in ((8192, 4096), (200, 4096), (300, 2)):
+        got = nearest(nodes, k=5, unit=unit, max_coarse=coarse, cell_size=64, probes=4, exact=True).toPandas()
         assert len(got) == 5 * len(x) and set(zip(got.vid, got.other)) == want
-    got = nearest(nodes, k=5, least=0.9).toPandas()
+    # few cells are visited, but dense groups are searched through
+    got = nearest(nodes, k=5, least=0.9, cell_size=64, probes=4, dense=0.9).toPandas()
     assert set(zip(got.vid, got.other)) == {(a, b) for a, b in want if s[a, b] >= 0.9}
 
 
+def test_recall_is_measured_against_brute_force(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(40, 64))[np.arange(1500) % 40] + 0.5 * rng.normal(size=(1500, 64))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vid bigint, vector array<float>")
+    asked = nodes.where("vid % 20 = 0")
+    row = recall(nodes, nearest(nodes, k=5, exact=True), asked, block=30).first()
+    assert (row["n_queries"], row["n_true"], row["n_found"]) == (75, 375, 375)
+    assert recall(nodes, nearest(nodes, k=5, max_coarse=4, cell_size=64), asked).first()["recall"] >= 0.9
+    assert recall(nodes, nearest(nodes, k=5), asked.limit(0)).first()["n_queries"] == 0
+
+
 def test_beam_encoding_is_no_worse_than_greedy():
     x = np.random.default_rng(7).normal(size=(500, 16)).astype(np.float32)
     books = fit(x, 8, levels=3, codewords=16)
