@@ -1,10 +1,12 @@
 """References whose target is missing, deleted or arrives later.
 
-The ledger keeps keyed state in versioned folders and moves on batch by batch:
-new references probe the parent index; parents that arrive, change or are
-deleted make the references that wait for them, or rest on them, be judged
-again.  Only what a batch changed is written.  After each batch the open
-orphans are counted per table, field and period.
+The ledger moves on batch by batch over keyed state.  Parents and references
+lie in buckets of the parent's key; a batch of parents reads the buckets it
+touches and no others, writes the keys that changed, and has the references on
+these judged again.  References that come in probe the parents.  Open orphans
+(and the last state of records that have states) are one keyed table that a
+batch merges with its own verdicts.  After each batch they are counted per
+table, field and period.
 """
 
 from __future__ import annotations
@@ -14,10 +16,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.scratch import scratch_path
+from graphloom.scratch import delete, scratch_path
 
-_PARENT = "kind int, key bigint, seen timestamp_ntz, born timestamp_ntz, gone timestamp_ntz, epoch int"
-_REF = "kind int, ref_table string, ref_field string, rec_key bigint, ref_key bigint, at timestamp_ntz, seen timestamp_ntz, versioned boolean, epoch int, reason string"
+_PARENT = "kind int, key bigint, seen timestamp_ntz, born timestamp_ntz, gone timestamp_ntz, b int"
+_REF = "kind int, ref_table string, ref_field string, rec_key bigint, ref_key bigint, at timestamp_ntz, seen timestamp_ntz, versioned boolean"
+_VERDICT = "ref_table string, ref_field string, rec_key bigint, k_ref bigint, k_at timestamp_ntz, versioned boolean, seen timestamp_ntz, ref_key bigint, at timestamp_ntz, epoch int, reason string"
+_FEW = 100_000  # parents of a kind that may be broadcast
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _reason(has_parent: Column, born: Column, gone: Column, at: Column) -> Column:
@@ -64,69 +72,92 @@ class OrphanLedger:
     spark: SparkSession
     home: str = ""
     epoch: int = 0
-    _counts: list[str] = field(default_factory=list)
+    buckets: int = 16
+    merge_after: int = 8
+    _few: list[int] = field(default_factory=list)  # kinds with few parents
 
     def __post_init__(self) -> None:
         self.home = self.home or scratch_path(self.spark, "orphans")
 
-    def _read(self, name: str, schema: str, epochs: list[int]) -> DataFrame:
-        if not epochs:
+    def _read(self, name: str, schema: str, epochs: list[int], buckets: list[int] | None = None) -> DataFrame:
+        if not epochs or buckets == []:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.home}/{name}/v={e}" for e in epochs))
-
-    def _write(self, df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").parquet(f"{self.home}/{name}/v={self.epoch}")
+        root = f"{self.home}/{name}"
+        rows = self.spark.read.schema(schema).option("basePath", root).parquet(*(f"{root}/v={e}" for e in epochs)).drop("v")
+        return rows if buckets is None else rows.where(F.col("b").isin(buckets))
+
+    def _write(self, df: DataFrame, name: str, by: str | None = None) -> None:
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.home}/{name}/v={self.epoch}")
+
+    def _bucket(self, kind: str, key: str) -> Column:
+        return F.pmod(F.xxhash64(key, kind), F.lit(self.buckets)).cast("int").alias("b")
+
+    def _parents(self, upto: int, buckets: list[int] | None = None) -> DataFrame:
+        """The last state of every parent after batch ``upto``: the last merged table and what changed since."""
+        merged = upto // self.merge_after * self.merge_after
+        rows = self._read("parents", _PARENT, list(range(merged + 1, upto + 1)), buckets)
+        if merged:
+            rows = rows.unionByName(self._read("merged", _PARENT, [merged], buckets))
+        return rows.groupBy("kind", "key", "b").agg(F.max(F.struct("seen", "born", "gone")).alias("s")).select("kind", "key", "s.*", "b")
+
+    def _judged(self, refs: DataFrame, against: DataFrame, how: str) -> DataFrame:
+        """References with their verdict; kinds with few parents are broadcast, so their hot keys are not shuffled."""
+        parent = against.select(F.col("kind").alias("p_kind"), F.col("key").alias("p_key"), "born", "gone")
+        on = (F.col("ref_key") == F.col("p_key")) & (F.col("kind") == F.col("p_kind"))
+        many = refs.where(~F.col("kind").isin(self._few)).join(parent.where(~F.col("p_kind").isin(self._few)), on, how)
+        few = refs.where(F.col("kind").isin(self._few)).join(F.broadcast(parent.where(F.col("p_kind").isin(self._few))), on, how)  # at most _FEW rows a kind
+        verdict = _reason(F.col("p_key").isNotNull(), F.col("born"), F.col("gone"), F.col("at"))
+        return (many.unionByName(few) if self._few else many).withColumn("reason", F.when(F.col("ref_key").isNotNull(), verdict))
 
     def advance(self, new_references: DataFrame, new_parents: DataFrame) -> int:
         """Apply one batch; replaying the same batch number overwrites it."""
-        before = list(range(1, self.epoch + 1))
+        before = self.epoch
         self.epoch += 1
-        now = F.lit(self.epoch).cast("int")
-        state = F.struct("seen", "born", "gone")
-        old = self._read("parents", _PARENT, before[-1:])
-        index = (
-            old.unionByName(new_parents.withColumn("epoch", now))
-            .groupBy("kind", "key")
-            .agg(F.max(state).alias("s"), F.max(F.when(F.col("epoch") != now, state)).alias("was"), F.min("epoch").alias("since"), F.max("epoch").alias("touched"))
-        )
-        moved = ~(F.struct("s.born", "s.gone").eqNullSafe(F.struct("was.born", "was.gone"))) | F.col("was").isNull()
-        epoch = F.when(moved, now).otherwise(F.col("touched"))
-        self._write(index.select("kind", "key", "s.*", F.when(F.col("touched") == now, epoch).otherwise(F.col("touched")).alias("epoch"), (moved & (F.col("touched") == now)).alias("moved")), "parents")
-        index = self._read("parents", f"{_PARENT}, moved boolean", [self.epoch])
-
-        def judged(refs: DataFrame, against: DataFrame, how: str) -> DataFrame:
-            parent = against.select(F.col("kind").alias("p_kind"), F.col("key").alias("p_key"), "born", "gone")
-            joined = refs.join(parent, (F.col("ref_key") == F.col("p_key")) & (F.col("kind") == F.col("p_kind")), how)
-            verdict = _reason(F.col("p_key").isNotNull(), F.col("born"), F.col("gone"), F.col("at"))
-            return joined.withColumn("reason", F.when(F.col("ref_key").isNotNull(), verdict)).withColumn("epoch", now)
-
-        names = [x.split()[0] for x in _REF.split(", ")]
-        self._write(judged(new_references, index, "left").select(*names), "refs")
+        # parents: only keys whose state moves on are written
+        came = new_parents.groupBy("kind", "key").agg(F.max(F.struct("seen", "born", "gone")).alias("new")).withColumn("b", self._bucket("kind", "key"))
+        self._write(came, "came")
+        came = self._read("came", "kind int, key bigint, new struct<seen timestamp_ntz, born timestamp_ntz, gone timestamp_ntz>, b int", [self.epoch])
+        touched = [r["b"] for r in came.select("b").distinct().collect()]  # at most ``buckets``
+        old = self._parents(before, touched).select("kind", "key", F.struct("seen", "born", "gone").alias("was"))
+        newer = came.join(old, ["kind", "key"], "left").where(F.col("was").isNull() | (F.col("new") > F.col("was")))
+        moved = F.col("was").isNull() | ~F.struct("new.born", "new.gone").eqNullSafe(F.struct("was.born", "was.gone"))
+        self._write(newer.select("kind", "key", "new.*", moved.alias("moved"), "b"), "parents", "b")
+        if self.epoch % self.merge_after == 0:
+            previous, self_rows = self.epoch - self.merge_after, self._read("parents", _PARENT, list(range(self.epoch - self.merge_after + 1, self.epoch + 1)))
+            whole = self_rows.unionByName(self._read("merged", _PARENT, [previous])) if previous else self_rows
+            self._write(whole.groupBy("kind", "key", "b").agg(F.max(F.struct("seen", "born", "gone")).alias("s")).select("kind", "key", "s.*", "b"), "merged", "b")
+        index = self._parents(self.epoch)
+        self._few = [r["kind"] for r in index.groupBy("kind").agg(F.count("*").alias("n")).where(F.col("n") <= _FEW).collect()]  # one row a kind
+        # references that come in
+        self._write(new_references.withColumn("b", self._bucket("kind", "ref_key")), "refs", "b")
+        mine = self._read("refs", f"{_REF}, b int", [self.epoch])
+        verdicts = self._judged(mine, index, "left").where(F.col("reason").isNotNull() | F.col("versioned"))
+        # references that rest on, or wait for, a parent that moved
+        changed = self._read("parents", f"{_PARENT}, moved boolean", [self.epoch]).where("moved")
+        if before:
+            hit = [r["b"] for r in changed.select("b").distinct().collect()]
+            again = self._judged(self._read("refs", f"{_REF}, b int", list(range(1, before + 1)), hit), changed, "inner")
+            verdicts = verdicts.unionByName(again)
+        verdicts = verdicts.select(
+            "ref_table", "ref_field", "rec_key", F.when(~F.col("versioned"), F.col("ref_key")).alias("k_ref"), F.when(~F.col("versioned"), F.col("at")).alias("k_at"), "versioned",
+            F.when(F.col("versioned"), F.col("seen")).alias("seen"), "ref_key", "at", F.lit(self.epoch).cast("int").alias("epoch"), "reason",
+        )
         if before:
-            changed = index.where("moved")
-            again = judged(self._read("refs", _REF, before).drop("reason", "epoch"), changed, "inner")
-            self._write(again.select(*names), "again")
+            verdicts = verdicts.unionByName(self._read("state", _VERDICT, [before]))
+        last = F.max_by(F.struct("ref_key", "at", "epoch", "reason"), F.struct("seen", "ref_key", "at", "epoch")).alias("s")
+        state = verdicts.groupBy("ref_table", "ref_field", "rec_key", "k_ref", "k_at", "versioned").agg(F.max("seen").alias("seen"), last)
+        # a reference without states that is fine now is judged again when its parent moves, and needs no row
+        self._write(state.select(*_names(_VERDICT)[:7], "s.*").where(F.col("reason").isNotNull() | F.col("versioned")), "state")
+        delete(self.spark, f"{self.home}/state/v={before - 1}")
+        delete(self.spark, f"{self.home}/came/v={self.epoch}")
         self._write(self.open().groupBy("ref_table", "ref_field", "ref_period", "reason").agg(F.count("*").alias("n_open")), "counts")
         return self.epoch
 
     def open(self) -> DataFrame:
         """The references that are orphans now, one row each."""
-        refs = self._read("refs", _REF, list(range(1, self.epoch + 1)))
-        # an unversioned reference that was fine on arrival matters only once it is judged again
-        latest = refs.where(F.col("reason").isNotNull() | F.col("versioned"))
-        if self.epoch > 1:
-            latest = latest.unionByName(self._read("again", _REF, list(range(2, self.epoch + 1))))
-        key = ["ref_table", "ref_field", "rec_key", "k_ref", "k_at"]
-        state = (
-            latest.withColumn("k_ref", F.when(~F.col("versioned"), F.col("ref_key")))
-            .withColumn("k_at", F.when(~F.col("versioned"), F.col("at")))
-            .withColumn("seen", F.when(F.col("versioned"), F.col("seen")))
-            .groupBy(*key)
-            .agg(F.max_by(F.struct("ref_key", "at", "reason"), F.struct("seen", "ref_key", "at", "epoch")).alias("s"))
-        )
-        return state.where("s.reason is not null").select(
-            "ref_table", "ref_field", F.date_format("s.at", "yyyy-MM").alias("ref_period"), "rec_key", F.col("s.ref_key").alias("ref_key"), F.col("s.reason").alias("reason")
-        )
+        state = self._read("state", _VERDICT, [self.epoch] if self.epoch else [])
+        return state.where(F.col("reason").isNotNull()).select("ref_table", "ref_field", F.date_format("at", "yyyy-MM").alias("ref_period"), "rec_key", "ref_key", "reason")
 
     def history(self) -> DataFrame:
         """The counts of open orphans after every batch, as ``v`` (batch), table, field, period, reason, ``n_open``."""

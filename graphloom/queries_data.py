@@ -11,28 +11,34 @@ from graphloom.operators.heavykeys import key_counts
 from graphloom.operators.orphans import OrphanLedger, parents, references
 from graphloom.scratch import materialise
 from graphloom.sources.tables import table
-from graphloom.streaming.changefeed import ChangeFeed, replay
+from graphloom.streaming.changefeed import ChangeFeed, arriving, replay
 
 VERTEX, LABEL = 1, 2
 EDGE_ID = ["src", "edge_type", "edge_rank", "dst"]
 
 
+BATCHES = 4  # in which the change feed and the references come
+
+
+def _replayed(spark: SparkSession, sf: str, payload: list[str]) -> DataFrame:
+    feed = ChangeFeed(EDGE_ID, ["version", "batch_pos"], "is_deleted", payload, required=["dst"])
+    path, files = arriving(table(spark, sf, "mvcc_edges"), feed, "arrived_at", BATCHES)
+    return replay(spark, path, feed, files)
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Live edges after all changes of ``mvcc_edges``."""
-    feed = ChangeFeed(EDGE_ID, ["version", "batch_pos"], "is_deleted", required=["dst"])
-    return replay(spark, f"{sf}/mvcc_edges.parquet", feed, files_per_batch=64).select(*EDGE_ID, "version")
+    """Live edges after all changes of ``mvcc_edges``, applied in micro-batches as they arrive."""
+    return _replayed(spark, sf, []).select(*EDGE_ID, "version")
 
 
 def p1_state(spark: SparkSession, sf: str) -> DataFrame:
     """Live edges with their payload, summed up per source and type."""
-    feed = ChangeFeed(EDGE_ID, ["version", "batch_pos"], "is_deleted", ["weight"], required=["dst"])
-    live = replay(spark, f"{sf}/mvcc_edges.parquet", feed, files_per_batch=64)
-    return live.groupBy("src", "edge_type").agg(
+    return _replayed(spark, sf, ["weight"]).groupBy("src", "edge_type").agg(
         F.count("*").alias("n_edges"), F.max("version").alias("last_version"), F.round(F.sum("weight"), 4).alias("weight")
     )
 
 
-def _ledger(spark: SparkSession, sf: str, batches: int = 2) -> OrphanLedger:
+def _ledger(spark: SparkSession, sf: str, batches: int = BATCHES) -> OrphanLedger:
     """Both edge ends and the labels of vertices, in ``batches`` slices of the time of ingestion."""
     edges, vertices, labels = table(spark, sf, "edge_ids"), table(spark, sf, "vertices"), table(spark, sf, "vertex_schema")
     span = F.min("ingested_at").alias("a"), F.max("ingested_at").alias("b")

@@ -2,16 +2,22 @@
 
 Everything an executor may have to read again is written to the folder the
 cluster names in ``spark.checkpoint.dir``; a folder of our own is only made
-when that setting is absent (tests, single machines).
+when that setting is absent and all executors run on this machine.
+
+What is written stays until ``release`` is called, since results are lazy and
+read it; the end of the process releases what is left.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session."""
@@ -21,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
         current = context._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if not base:
+        if not context.master.startswith("local"):
+            raise RuntimeError("executors need a shared folder: set spark.checkpoint.dir")
         base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(base)
@@ -29,7 +37,38 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/graphloom-{name}-{uuid.uuid4().hex[:12]}"
+    _made[path] = spark
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def exists(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths of the shared file system that match a glob pattern."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return [s.getPath().toString() for s in found or []]
+
+
+def release() -> int:
+    """Delete the scratch folders of this process; results that read them are gone."""
+    n = 0
+    while _made:
+        path, spark = _made.popitem()
+        try:
+            delete(spark, path)
+            n += 1
+        except Exception:  # noqa: BLE001 - the session may be gone
+            pass
+    return n
+
+
+atexit.register(release)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

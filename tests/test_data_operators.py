@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.operators.heavykeys import key_counts
 from graphloom.operators.orphans import OrphanLedger, parents, references
 from graphloom.queries_data import p5_degrees, p5_found
-from graphloom.streaming.changefeed import ChangeFeed, replay
+from graphloom.streaming.changefeed import ChangeFeed, arriving, replay
 from tests.conftest import rows
 
 FEED = "src bigint, dst bigint, version bigint, pos int, dead boolean, weight double, _state string, batch string"
@@ -49,7 +49,25 @@ def test_change_feed_goes_on_where_it_ended(spark, tmp_path):
     done = feed.run(spark, path, schema, out, state)
     spark.createDataFrame([(1, 1, 4, 0, True, None, "", ""), (2, 1, 2, 0, True, None, "", "")], FEED).write.mode("append").parquet(path)
     done += feed.run(spark, path, schema, out, state)
-    assert len(done) == 2 and rows(feed.current(spark, out, schema, 2)) == [(1, 5)]  # the late deletion is older, the other newer
+    assert len(done) == 2 and rows(feed.current(spark, out, schema)) == [(1, 5)]  # the late deletion is older, the other newer
+    for version, dead in ((6, True), (7, False), (8, True), (7, True)):
+        spark.createDataFrame([(1, 1, version, 0, dead, None, "", "")], FEED).write.mode("append").parquet(path)
+        feed.run(spark, path, schema, out, state, merge_after=3)
+        again = ChangeFeed(["src"], ["version"], "dead", required=[])  # a reader that knows nothing of earlier runs
+        assert rows(again.current(spark, out, schema)) == ([] if dead else [(1, version)])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["base=5"]
+    feed.merge(spark, out, schema)
+    assert rows(feed.current(spark, out, schema)) == []
+
+
+def test_a_table_of_changes_comes_in_batches(spark, tmp_path):
+    changes = spark.createDataFrame(_feed(4), FEED).withColumn("arrived", F.rand(1))
+    feed = ChangeFeed(["src", "dst"], ["version", "pos"], "dead", ["weight"], required=["dst"])
+    path, files = arriving(changes, feed, "arrived", 4)
+    changes.select("src", "dst", "version", "pos", "dead", "weight").write.parquet(str(tmp_path / "whole"))
+    out = [str(tmp_path / x) for x in ("out", "state")]
+    assert len(feed.run(spark, path, spark.read.parquet(path).schema, *out, files)) == 4
+    assert repr(rows(feed.current(spark, out[0], spark.read.parquet(path).schema))) == repr(rows(replay(spark, str(tmp_path / "whole"), feed)))
 
 
 def test_change_feed_empty(spark, tmp_path):
@@ -88,6 +106,56 @@ def _t(day):
     return None if day is None else datetime(2024, 1, day)
 
 
+def _brute_orphans(refs, parents_):
+    """Orphans of (record, key, at) by the last (seen, born, gone) of each parent key."""
+    last = {}
+    for key, born, gone, seen in parents_:
+        if key is not None and (key not in last or (seen, born or 0, gone or 0) > last[key]):
+            last[key] = (seen, born or 0, gone or 0)
+    out = set()
+    for no, key, at in refs:
+        if key is None:
+            continue
+        if key not in last:
+            out.add((no, key, "missing"))
+        elif last[key][2] and last[key][2] <= at:
+            out.add((no, key, "deleted"))
+        elif last[key][1] > at:
+            out.add((no, key, "late"))
+    return out
+
+
+def test_orphans_equal_brute_force_after_every_batch(spark):
+    r = random.Random(8)
+    ledger = OrphanLedger(spark, buckets=4, merge_after=2)
+    refs, parents_ = [], []
+    vert = "vid bigint, born timestamp_ntz, gone timestamp_ntz, seen timestamp_ntz"
+    for batch in range(5):
+        new_refs = [(no, r.choice([None, 1, 1, 1, *range(2, 30)]), r.randrange(1, 28)) for no in range(batch * 40, batch * 40 + 40)]
+        new_refs += refs[:10]  # delivered again
+        came = [(r.choice([None, *range(1, 40)]), r.randrange(1, 28), r.choice([None, None, r.randrange(1, 28)]), r.randrange(1, 28)) for _ in range(15 if batch != 3 else 0)]
+        refs, parents_ = refs + new_refs, parents_ + came
+        ledger.advance(
+            references(spark.createDataFrame([(a, b, _t(c)) for a, b, c in new_refs], "no bigint, dst bigint, at timestamp_ntz"), 1, "e", "dst", "no", "at"),
+            parents(spark.createDataFrame([(a, _t(b), _t(c), _t(d)) for a, b, c, d in came], vert), 1, "vid", "born", "gone", "seen"),
+        )
+        want = _brute_orphans(refs, parents_)
+        assert {(x.rec_key, x.ref_key, x.reason) for x in ledger.open().collect()} == want
+        assert ledger.history().where(F.col("v") == batch + 1).agg(F.coalesce(F.sum("n_open"), F.lit(0))).first()[0] == len(want)
+
+
+def test_the_last_state_of_a_record_decides(spark):
+    ledger = OrphanLedger(spark)
+    labels = parents(spark.createDataFrame([(7, _t(1), None)], "id bigint, born timestamp_ntz, gone timestamp_ntz"), 2, "id", "born", "gone")
+    none = spark.createDataFrame([], "id bigint, born timestamp_ntz, gone timestamp_ntz")
+    state = lambda *r: references(spark.createDataFrame([(a, b, _t(5), _t(c)) for a, b, c in r], "vid bigint, label bigint, at timestamp_ntz, seen timestamp_ntz"), 2, "v", "label", "vid", "at", "seen", True)
+    ledger.advance(state((1, 9, 2), (2, 7, 2), (3, 9, 4)), labels)
+    ledger.advance(state((1, 7, 3), (2, 8, 1), (3, None, 5)), parents(none, 2, "id", "born", "gone"))
+    assert ledger.open().count() == 0
+    ledger.advance(state((1, 9, 9)), parents(none, 2, "id", "born", "gone"))
+    assert [(x.rec_key, x.reason) for x in ledger.open().collect()] == [(1, "missing")]
+
+
 def test_orphans_arrive_resolve_and_reopen(spark):
     vert = "vid bigint, born timestamp_ntz, gone timestamp_ntz, seen timestamp_ntz, kind string"
     refs = "no bigint, dst bigint, at timestamp_ntz, seen timestamp_ntz, reason string"
