@@ -28,6 +28,16 @@ def spark_type(declared: str) -> T.DataType:
     return _TYPES[declared]
 
 
+def declared_type(simple: str) -> str | None:
+    """The declared type of a Spark type, None if there is none."""
+    if simple in ("array<float>", "array<double>"):
+        return "VECTOR"
+    if simple in ("int", "smallint", "tinyint"):
+        return "INT64"
+    names = {"bigint": "INT64", "double": "FLOAT64", "float": "FLOAT64", "string": "STRING", "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP"}
+    return names.get(simple)
+
+
 @dataclass
 class Entity:
     """A vertex label or an edge type."""
@@ -90,6 +100,16 @@ class Catalog:
         known[name] = Entity(name, number, props)
         return known[name]
 
+    def described(self) -> dict:
+        """Plain values from which ``from_description`` makes the same catalog."""
+        plain = lambda m: [{"name": e.name, "number": e.number, "properties": list(e.properties.items()), "indexes": e.indexes} for e in m.values()]
+        return {"labels": plain(self.labels), "types": plain(self.types), "next_label": self.next_label, "next_type": self.next_type}
+
+    @staticmethod
+    def from_description(known: dict) -> Catalog:
+        made = lambda rows: {r["name"]: Entity(r["name"], r["number"], dict(map(tuple, r["properties"])), dict(r["indexes"])) for r in rows}
+        return Catalog(made(known["labels"]), made(known["types"]), known["next_label"], known["next_type"])
+
     def drop(self, kind: str, name: str) -> Entity:
         found = self.find(kind, name)
         return self._of(kind).pop(found.name)

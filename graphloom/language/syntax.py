@@ -216,3 +216,10 @@ class DeleteEdge:
     source: int
     target: int
     rank: int | None = None
+
+
+@dataclass(frozen=True)
+class Maintain:
+    """``compact`` or ``snapshot``."""
+
+    what: str

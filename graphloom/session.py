@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
+from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.algo.registry import run_procedure
 from graphloom.errors import ExecutionError, GraphError, SchemaError
@@ -68,6 +71,45 @@ class GraphSession:
                 out.append(x)
         return out
 
+    def execute(self, text: str, graph: str | None = None) -> dict:
+        """One statement as plain values: status, columns, rows, counts and microseconds; errors are reported, not raised."""
+        began = perf_counter()
+        took = lambda: int((perf_counter() - began) * 1e6)
+        try:
+            df = self.query(text, graph)
+            rows = [list(r) for r in df.collect()]
+        except GraphError as x:
+            return {"status": "error", "error": str(x), "elapsed_us": took()}
+        changed = sum(r[1] for r in rows) if df.columns == ["message", "rows_affected"] else 0
+        return {"status": "ok", "columns": df.columns, "rows": rows, "num_rows": len(rows), "rows_affected": changed, "elapsed_us": took()}
+
+    def json(self, text: str, graph: str | None = None) -> str:
+        return json.dumps(self.execute(text, graph), default=str)
+
+    def export(self, path: str) -> None:
+        """Write the graph as a statement script: definitions, then one INSERT per row, as text files below ``path``."""
+        c = self.store.catalog
+        literal = lambda col, t: F.when(col.isNull(), F.lit("NULL")).otherwise(
+            F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(col.cast("string"), "\\\\", "\\\\\\\\"), "'", "\\\\'"), F.lit("'")) if t in ("STRING", "VARCHAR", "TEXT", "DATE", "TIMESTAMP")
+            else F.to_json(col) if t.startswith("VECTOR") else col.cast("string"))
+        lines = []
+        for kind, word, entities in (("vertex", "VERTEX", c.labels), ("edge", "EDGE", c.types)):
+            for e in entities.values():
+                lines.append(f"CREATE {word} {e.name} (" + ", ".join(f"{p} {t}" for p, t in e.properties.items()) + ");")
+        script = self.spark.createDataFrame([(t,) for t in lines], "value string").coalesce(1)
+        script.write.mode("overwrite").text(f"{path}/1-definitions")
+        for kind, word, entities in (("vertex", "VERTEX", c.labels), ("edge", "EDGE", c.types)):
+            for e in entities.values():
+                values = [literal(F.col(f"`{p}`"), t) for p, t in e.properties.items()]
+                df = self.store.read(kind, e.name)
+                if kind == "vertex":
+                    head = f"INSERT VERTEX {e.name} (" + ", ".join(["id", *e.properties]) + ") VALUES ("
+                    text = F.concat(F.lit(head), F.concat_ws(", ", F.col("_id").cast("string"), *values), F.lit(");"))
+                else:
+                    head = f"INSERT EDGE {e.name} (" + ", ".join(e.properties) + ") VALUES ("
+                    text = F.concat(F.lit(head), F.concat_ws(", ", *(F.col(k).cast("string") for k in ("_src", "_dst", "_rank"))), F.lit(")"), *([F.lit(": ("), F.concat_ws(", ", *values), F.lit(")")] if values else []), F.lit(";"))
+                df.select(text.alias("value")).write.mode("overwrite").text(f"{path}/{2 if kind == 'vertex' else 3}-{e.name}")
+
     def explain(self, text: str) -> str:
         return tree(parse(text), self.store.catalog)
 
@@ -129,6 +171,10 @@ class GraphSession:
             return self._show(s.what)
         if isinstance(s, S.Analyze):
             return self._analyze()
+        if isinstance(s, S.Maintain):
+            if s.what == "compact":
+                return self._status("compacted", store.compact())
+            return self.spark.createDataFrame([(store.snapshot(), store.version)], "snapshot string, version bigint")
         if isinstance(s, S.PutVertices):
             return self._put_vertices(s)
         if isinstance(s, S.PutEdges):
@@ -220,15 +266,19 @@ class GraphSession:
         return self._status("merged vertices" if s.merge else "inserted vertices", n)
 
     def _merge_by_properties(self, label: str, columns: list[str], rows: tuple, types: dict) -> DataFrame:
-        made = 0
-        for r in rows:
-            have = self.store.vertices(label)
-            given = self._literals(columns, [r], types).select(*(F.col(c).cast(types[c]) for c in columns)).first()
-            match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.lit(given[c])) for c in columns))
-            if have.where(match).isEmpty():
-                top = max((self.store.vertices(n).agg(F.max("_id")).first()[0] or 0 for n in self.store.catalog.labels), default=0)
-                made += self.store.upsert("vertex", label, self._literals(["_id", *columns], [(top + 1, *r)], types))
-        return self._status("merged vertices", made)
+        """Add the rows that no vertex matches in the named properties; new ids follow the greatest one of all labels."""
+        rows = tuple(dict.fromkeys(rows))
+        given = self._literals([" at", *columns], [(i, *r) for i, r in enumerate(rows)], {" at": T.LongType(), **types})
+        given = given.select(" at", *(F.col(f"`{c}`").cast(types[c]).alias(f" {c}") for c in columns))
+        have = self.store.vertices(label).select(*columns)
+        same = reduce(lambda a, b: a & b, (F.col(f"`{c}`").eqNullSafe(F.col(f"` {c}`")) for c in columns))
+        new = sorted(r[0] for r in given.join(have, same, "left_anti").select(" at").collect())  # at most the rows of the statement
+        if not new:
+            return self._status("merged vertices", 0)
+        tops = [self.store.vertices(n).agg(F.max("_id").alias("m")) for n in self.store.catalog.labels]
+        top = reduce(DataFrame.unionByName, tops).agg(F.max("m")).first()[0] or 0
+        made = [(top + 1 + k, *rows[i]) for k, i in enumerate(new)]
+        return self._status("merged vertices", self.store.upsert("vertex", label, self._literals(["_id", *columns], made, types)))
 
     def _put_edges(self, s: S.PutEdges) -> DataFrame:
         e = self.store.catalog.find("edge", s.type)
@@ -271,7 +321,6 @@ class GraphSession:
                     raise ExecutionError(f"{v} is no bound vertex")
             ends = {"_src": col(f"{clause.source}$_id"), "_dst": col(f"{clause.target}$_id"), "_rank": F.lit(0)}
             new = rows.df.select(*(c.cast("bigint").alias(n) for n, c in ends.items()), *(compiler.value(e, rows.scope).alias(p) for p, e in clause.props))
-            new = new.dropDuplicates(["_src", "_rank", "_dst"])
             if clause.merge:
                 new = new.join(store.edges(clause.type).select("_src", "_rank", "_dst"), ["_src", "_rank", "_dst"], "left_anti")
             return store.upsert("edge", clause.type, new)
@@ -301,7 +350,8 @@ class GraphSession:
                     known = store.catalog.find(kind, name).properties
                     if missing := [p for p in sets if p not in known]:
                         raise SchemaError(f"{name} has no property {missing[0]}")
-                    new = mine.select(*keys, *(compiler.value(e, rows.scope).alias(p) for p, e in sets.items())).dropDuplicates(key)
+                    new = mine.select(*keys, *(compiler.value(e, rows.scope).alias(p) for p, e in sets.items()))
+                    new = new.groupBy(*key).agg(F.max(F.struct(*sets)).alias(" s")).select(*key, "` s`.*")  # a row matched often is set once
                     rest = store.read(kind, name).drop(*sets)
                     total += store.upsert(kind, name, rest.join(new, key))
         return total
