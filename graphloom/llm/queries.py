@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.components import group_ids
 from graphloom.llm.mixing import mix
 from graphloom.llm.packing import containers, pack
-from graphloom.llm.setjoin import similar_classes, similar_pairs, value_sets
+from graphloom.llm.setjoin import similar_pairs, similar_sets
 from graphloom.llm.spans import shared_chars, shared_spans
 from graphloom.llm.tokens import count_tokens
 from graphloom.llm.vectors import nearest, recall, usable_vectors
@@ -18,19 +18,19 @@ from graphloom.scratch import materialise
 from graphloom.sources.tables import table
 
 
-def _tagged(spark: SparkSession, sf: str) -> DataFrame:
-    return value_sets(table(spark, sf, "edge_ids").where("edge_type = 3"), "src", "dst", 0.7)
+def _tagged(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return similar_sets(table(spark, sf, "edge_ids").where("edge_type = 3"), "src", "dst", 0.7)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Sources whose sets of tags overlap by 0.7 or more."""
-    pairs = similar_pairs(*similar_classes(_tagged(spark, sf), 0.7))
+    pairs = similar_pairs(*_tagged(spark, sf))
     return pairs.select(F.col("a").alias("src_a"), F.col("b").alias("src_b"))
 
 
 def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Links between classes of equal tag sets, with both class sizes."""
-    members, links = similar_classes(_tagged(spark, sf), 0.7)
+    members, links = _tagged(spark, sf)
     size = members.groupBy("rep").agg(F.count("*").alias("n"))
     a, b = size.withColumnsRenamed({"rep": "a", "n": "n_a"}), size.withColumnsRenamed({"rep": "b", "n": "n_b"})
     return links.join(a, "a").join(b, "b").select(F.col("a").alias("rep_a"), F.col("b").alias("rep_b"), "shared", "n_a", "n_b")

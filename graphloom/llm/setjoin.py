@@ -8,9 +8,9 @@ occur on at least T lists: a heap merges the short lists, skipping ahead, and
 the longest lists are only binary-searched for the candidates found.
 
 Sets that are equal form one class and are joined once.  A value that routes
-more than ``block`` records is split into a triangle of block pairs, so no part
-grows with the frequency of a value.  A record is dropped before routing only
-when no other record has a compatible size.
+more than ``block`` records is split: its records are cut into blocks by the
+size of their sets, and only blocks of sizes that can reach the threshold are
+paired, so no part grows with the frequency of a value.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.scratch import materialise
@@ -132,57 +132,78 @@ def _join_parts(batches: Iterator[pd.DataFrame], num: int, den: int) -> Iterator
         yield solve()
 
 
-def value_sets(df: DataFrame, record: str, value: str, threshold: float = 0.7) -> DataFrame:
+def _bands(n: Column, threshold: float) -> Column:
+    """Bands of set sizes: sizes that can reach the threshold are at most one band apart."""
+    return F.floor(F.log(n.cast("double")) / float(-np.log(threshold)) + 1e-9).cast("int")
+
+
+def value_sets(df: DataFrame, record: str, value: str, threshold: float | None = None) -> DataFrame:
     """``rid`` and ``items``, the values of each record from the rarest to the most frequent (ties by value).
 
     Rows with a null record or value are left out; repeated rows count once.
-    Records that have no other record of a compatible size are left out: sizes
-    fall in bands of the ratio ``threshold``, and a partner is at most one band
-    away.  Values are numbered by a 64-bit column, so ``value`` is an integer.
+    With a ``threshold`` the records are left out whose sizes no other record
+    can match at that threshold or a higher one.  Values are numbered by a
+    64-bit column, so ``value`` is an integer.
     """
     pairs = df.select(F.col(record).cast("bigint").alias("rid"), F.col(value).cast("bigint").alias("v")).dropna().distinct()
     pairs = materialise(pairs, "sets")
-    sizes = pairs.groupBy("rid").agg(F.count("*").alias("n"))
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(threshold)) + 1e-9).cast("int")
-    sizes = materialise(sizes.withColumn("band", band), "sizes")
-    bands = sizes.groupBy("band").agg(F.count("*").alias("m"))  # at most about 120 rows
-    near = bands.select(F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "m")
-    live = near.groupBy("band").agg(F.sum("m").alias("m")).where("m > 1")
-    lonely = sizes.join(F.broadcast(live), "band", "left_anti").select("rid")
-    freq = pairs.groupBy("v").agg(F.count("*").alias("f"))
-    rows = pairs.join(freq, "v")
-    rows = rows.join(lonely, "rid", "left_anti")
+    rows = pairs.join(pairs.groupBy("v").agg(F.count("*").alias("f")), "v")
+    if threshold is not None and 0 < threshold < 1:
+        sizes = materialise(pairs.groupBy("rid").agg(F.count("*").alias("n")).withColumn("band", _bands(F.col("n"), threshold)), "sizes")
+        bands = sizes.groupBy("band").agg(F.count("*").alias("m"))  # sizes are below 2**63: at most 44 / -ln(threshold) rows
+        near = bands.select(F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "m")
+        live = near.groupBy("band").agg(F.sum("m").alias("m")).where("m > 1")
+        rows = rows.join(sizes.join(live, "band", "left_anti").select("rid"), "rid", "left_anti")
     return rows.groupBy("rid").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias("items"))
 
 
+def similar_sets(df: DataFrame, record: str, value: str, threshold: float = 0.7, block: int = 2000) -> tuple[DataFrame, DataFrame]:
+    """``(members, links)`` as from ``similar_classes``, for rows of records and values; one threshold for all steps."""
+    return similar_classes(value_sets(df, record, value, threshold), threshold, block)
+
+
 def similar_classes(sets: DataFrame, threshold: float = 0.7, block: int = 2000, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``(members, links)`` of records ``rid``, ``items``.
 
     ``members`` has one row per record: ``rid`` and ``rep``, the smallest
     record of the class of equal sets.  ``links`` are the pairs of different
     sets that reach the threshold: ``a`` < ``b`` (representatives), ``shared``.
+    ``threshold`` is above 0 and at most 1, where only equal sets are similar.
     """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be above 0 and at most 1")
     spark = sets.sparkSession
     ratio = Fraction(str(threshold))
     num, den = ratio.numerator, ratio.denominator
     sets = materialise(sets, "records")
     classes = sets.groupBy("items").agg(F.min("rid").alias("rep"))
     members = sets.join(classes, "items").select("rid", "rep")
+    if threshold == 1:
+        return members, spark.createDataFrame([], "a bigint, b bigint, shared bigint")
     n = F.size("items")
     prefix = F.slice("items", 1, n - F.ceil(n * num / den).cast("int") + 1)
-    classes = materialise(classes.withColumn("prefix", prefix), "classes")
-    routed = classes.select(F.col("rep").alias("rid"), F.explode("prefix").alias("v"))
-    load = routed.groupBy("v").agg(F.count("*").alias("m")).where("m > 1")
-    n_parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1) * 8
-    hot = load.where(F.col("m") > block).select("v", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    routed = routed.join(load.select("v"), "v", "left_semi").join(hot, "v", "left")
+    classes = materialise(classes.withColumns({"prefix": prefix, "band": _bands(n, threshold)}), "classes")
+    routed = materialise(classes.select(F.col("rep").alias("rid"), "band", F.explode("prefix").alias("v")), "routed")
+    load = routed.groupBy("v", "band").agg(F.count("*").alias("mb"))
+    load = load.withColumn("m", F.sum("mb").over(Window.partitionBy("v"))).where("m > 1")  # at most one row a band
+    load = load.withColumn("blocks", F.when(F.col("m") > block, F.ceil(F.col("mb") / block).cast("int")))
+    near = load.where("blocks is not null").select("v", F.explode(F.array(F.col("band") - 1, F.col("band") + 1)).alias("band"), F.col("blocks").alias("beside"), F.col("band").alias("from"))
+    beside = near.groupBy("v", "band").agg(F.max(F.when(F.col("from") < F.col("band"), F.col("beside"))).alias("below"), F.max(F.when(F.col("from") > F.col("band"), F.col("beside"))).alias("above"))
+    load = materialise(load.join(beside, ["v", "band"], "left"), "load")
+    rows = routed.join(load, ["v", "band"])
+    # parts hold about as many routed records as a block, whatever the size of the table
+    total = load.where("blocks is null").agg(F.sum("mb")).first()[0] or 0
+    n_parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / block))
+    cool = rows.where("blocks is null").select("rid", F.pmod(F.xxhash64("v"), F.lit(n_parts)).alias("part"), F.lit(0).alias("side"))
     h = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")
-    cool = routed.where("blocks is null").select("rid", F.pmod(F.xxhash64("v"), F.lit(n_parts)).alias("part"), F.lit(0).alias("side"))
-    pair = F.struct(F.least(F.col("h"), F.col("o")).alias("i"), F.greatest(F.col("h"), F.col("o")).alias("j"))
+    across = lambda n, band, mine: F.when(F.col(n).isNotNull(), F.transform(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1), lambda o: F.struct(
+        F.col("band").alias("low") if mine == 1 else (F.col("band") - 1).alias("low"), F.lit(True).alias("two"), (h if mine == 1 else o).alias("i"), (o if mine == 1 else h).alias("j"), F.lit(mine).alias("side")))).otherwise(F.array())
+    inside = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.col("band").alias("low"), F.lit(False).alias("two"), F.least(h, o).alias("i"), F.greatest(h, o).alias("j"), F.when(h == o, 0).when(h < o, 1).otherwise(2).alias("side")))
     split = (
-        routed.where("blocks is not null").withColumn("h", h)
-        .withColumn("o", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("p", pair)
-        .select("rid", F.xxhash64("v", "p.i", "p.j").alias("part"), F.when(F.col("h") == F.col("o"), 0).when(F.col("h") < F.col("o"), 1).otherwise(2).alias("side"))
+        rows.where("blocks is not null")
+        .select("rid", "v", F.explode(F.concat(inside, across("above", "above", 1), across("below", "below", 2))).alias("p"))
+        .select("rid", F.xxhash64("v", "p.low", "p.two", "p.i", "p.j").alias("part"), F.col("p.side").alias("side"))
     )
     # the set travels once per part, however many of its values lead there
     routes = cool.distinct().unionByName(split)
@@ -194,12 +215,25 @@ def similar_classes(sets: DataFrame, threshold: float = 0.7, block: int = 2000,
     return members, found.distinct()
 
 
-def similar_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """All pairs of records, ``a`` < ``b``: links between classes and equal sets, written out."""
+def similar_pairs(members: DataFrame, links: DataFrame, block: int = 1000) -> DataFrame:
+    """All pairs of records, ``a`` < ``b``: links between classes and equal sets, written out.
+
+    The members of a class are cut into blocks of about ``block``, and blocks
+    are joined with blocks, so a large class is spread over many keys.
+    """
     members = materialise(members, "members")
-    left, right = members.select(F.col("rid").alias("x"), F.col("rep").alias("a")), members.select(F.col("rid").alias("y"), F.col("rep").alias("b"))
-    across = links.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    within = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    blocks = members.groupBy("rep").agg(F.ceil(F.count("*") / block).cast("int").alias("n")).where("n > 1")
+    cut = members.join(blocks, "rep", "left").select("rid", "rep", F.coalesce("n", F.lit(1)).alias("n"))
+    cut = materialise(cut.select("rid", "rep", "n", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int").alias("i")), "blocks")
+    count = cut.where("n > 1").select("rep", "n").distinct()
+    left, right = cut.select(F.col("rid").alias("x"), F.col("rep").alias("a"), "i"), cut.select(F.col("rid").alias("y"), F.col("rep").alias("b"), F.col("i").alias("j"))
+    wide = links.select("a", "b").join(count.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a", "left").join(count.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b", "left")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    wide = wide.withColumn("i", each("na")).withColumn("j", each("nb")).select("a", "b", "i", "j")
+    across = wide.join(left, ["a", "i"]).join(right, ["b", "j"]).select("x", "y")
+    several = members.groupBy("rep").agg(F.count("*").alias("m")).where("m > 1").join(count, "rep", "left").select(F.col("rep").alias("a"), F.coalesce("n", F.lit(1)).alias("n"))
+    same = several.withColumn("i", each("n")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("a", F.col("a").alias("b"), "i", "j")
+    within = same.join(left, ["a", "i"]).join(right, ["b", "j"]).where("x < y").select("x", "y")
     pairs = across.unionByName(within)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 

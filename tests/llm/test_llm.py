@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import spans
-from graphloom.llm.components import group_ids
+from graphloom.llm.components import group_ids, split_hubs
 from graphloom.llm.mixing import mix, water_fill
 from graphloom.llm.packing import best_fit, containers, pack
-from graphloom.llm.setjoin import join_part, occurrences, similar_classes, similar_pairs, value_sets
+from graphloom.llm.setjoin import join_part, occurrences, similar_classes, similar_pairs, similar_sets, value_sets
 from graphloom.llm.spans import shared_chars, shared_spans
 from graphloom.llm.tokens import count_tokens
 from graphloom.llm.vectors import encode, fit, nearest, recall, usable_vectors
@@ -34,19 +34,26 @@ def test_two_sided_part_joins_across_only():
     assert sorted(found) == [(1, 3, 3), (2, 3, 3)]
 
 
-@pytest.mark.parametrize("block", [3, 2000])
-def test_set_join_equals_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "threshold"), [(3, 0.7), (2000, 0.7), (4, 0.5), (2000, 0.5), (3, 0.95), (2000, 1.0)])
+def test_set_join_equals_brute_force(spark, block, threshold):
     r = random.Random(4)
     sets = {i: set(r.sample(range(25), r.randrange(1, 9))) for i in range(120)}
-    sets |= {200 + i: set(sets[i % 7]) for i in range(30)} | {300: set(range(400))}
+    sets |= {200 + i: set(sets[i % 7]) for i in range(30)} | {300: set(range(400)), 301: {7001, 7002}, 302: {7001, 7002, 7003, 7004}}
     sets |= {400 + i: {1, 2, 3, 4, 5, 100 + i} for i in range(20)}
     data = [(a, v, "x") for a, s in sets.items() for v in s] * 2 + [(None, 1, "x"), (1, None, "x"), (999, None, "x")]
     df = spark.createDataFrame(data, "src bigint, dst bigint, items string")
-    want = sorted((a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b]))
-    pairs = similar_pairs(*similar_classes(value_sets(df, "src", "dst"), 0.7, block))
-    assert sorted(map(tuple, pairs.collect())) == want
-    empty = value_sets(df.limit(0), "src", "dst")
-    assert similar_pairs(*similar_classes(empty)).count() == 0
+    least = int(threshold * 100)
+    want = sorted((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
+    for small in (3, 1000):
+        pairs = similar_pairs(*similar_sets(df, "src", "dst", threshold, block), small)
+        assert sorted(map(tuple, pairs.collect())) == want
+    assert similar_pairs(*similar_sets(df.limit(0), "src", "dst", threshold)).count() == 0
+
+
+def test_sets_are_whole_without_a_threshold(spark):
+    df = spark.createDataFrame([(1, v) for v in (1, 2)] + [(2, v) for v in (1, 2, 3, 4)], "src bigint, dst bigint")
+    assert value_sets(df, "src", "dst").count() == 2
+    assert rows(similar_classes(value_sets(df, "src", "dst"), 0.5)[1]) == [(1, 2, 2)]
 
 
 def test_groups_equal_union_find(spark):
@@ -64,10 +71,21 @@ def test_groups_equal_union_find(spark):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     df = spark.createDataFrame([(a, b, 1) for a, b in pairs] + [(None, 3, 1), (4000, None, 1)], "src bigint, dst bigint, v int")
-    assert sorted(map(tuple, group_ids(df, "src", "dst").collect())) == sorted((v, find(v)) for v in root)
+    for hub in (20_000, 5):
+        assert sorted(map(tuple, group_ids(df, "src", "dst", hub=hub).collect())) == sorted((v, find(v)) for v in root)
     assert group_ids(df.limit(0), "src", "dst").count() == 0
 
 
+def test_hubs_are_split(spark):
+    pairs = [(7, i) for i in range(100, 700)] + [(i, 7) for i in range(700, 1000)] + [(7, 7), (5, 6)]
+    both = spark.createDataFrame(pairs, "v bigint, o bigint")
+    both = both.unionByName(both.select(F.col("o").alias("v"), F.col("v").alias("o"))).distinct()
+    edges, added = split_hubs(both, 50)
+    degree = {r["v"]: r["n"] for r in edges.groupBy("v").agg(F.count("*").alias("n")).collect()}
+    assert added == 1000 and max(degree.values()) < 120 and sum(degree.values()) >= 2 * 900
+    assert set(map(tuple, group_ids(spark.createDataFrame(pairs, "v bigint, o bigint"), "v", "o", hub=50).collect())) == {(i, 7) for i in (7, *range(100, 1000))} | {(5, 5), (6, 5)}
+
+
 def test_vectors_reach_the_recall(spark):
     rng = np.random.default_rng(6)
     centres = rng.normal(size=(12, 64))
