@@ -7,14 +7,13 @@ reliable checkpoint.  Vertices are the ends of edges.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.reach import distances
-from graphloom.scratch import cut, materialise
+from graphloom.scratch import cut, loop_partitions, materialise
 
+PEELS = 4  # layers of lone vertices taken off between two colourings
 UNREACHABLE = 4294967295  # fixed value: the distance of what cannot be reached
 
 
@@ -35,53 +34,78 @@ def degree(edges: DataFrame) -> DataFrame:
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
-    """Ranks that sum to 1; what vertices without out-edges hold is spread evenly."""
+    """Ranks that sum to 1; what vertices without out-edges hold is spread evenly.
+
+    A round is one join and one aggregation.  The state carries each vertex's
+    share of ``1 / n`` apart from a factor common to all: ranks are kept as
+    ``x + base`` with one ``base`` per round, so what is lost at vertices
+    without out-edges is known from the sums of the round before.
+    """
     edges = materialise(edges.select("src", "dst"), "edges")
     out = edges.groupBy("src").agg(F.count("*").alias("d"))
-    # parallel edges become one weighted link, with a loop of weight 0 that carries the vertex itself
-    links = edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("w"))
     nodes = vertices(edges).join(out.withColumnRenamed("src", "v"), "v", "left").select("v", F.col("d").isNull().alias("dangling"))
-    n = nodes.count()
+    nodes = materialise(nodes, "nodes")
+    n, n_dangling = nodes.agg(F.count("*"), F.sum(F.col("dangling").cast("long"))).first()
     if not n:
         return edges.sparkSession.createDataFrame([], "vertex_id bigint, score double")
+    spark = edges.sparkSession
+    # parallel edges become one weighted link, with a loop of weight 0 that carries the vertex itself
+    links = edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("d")).alias("w"))
     own = nodes.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(0.0).alias("w"))
-    links = links.unionByName(own).repartition("src").persist()
-    state = cut(nodes.select("v", "dangling", F.lit(1.0 / n).alias("r"), F.lit(0.0).alias("was")))
-    for i in range(rounds):
-        lost = state.where("dangling").agg(F.sum("r")).first()[0] or 0.0
-        base = (1 - damping) / n + damping * lost / n
-        sent = links.join(state.withColumnRenamed("v", "src"), "src")
-        loop = F.col("src") == F.col("dst")
-        state = sent.groupBy(F.col("dst").alias("v")).agg(
-            F.max(F.when(loop & (F.col("w") == 0), F.col("dangling"))).alias("dangling"), (F.lit(base) + damping * F.sum(F.col("w") * F.col("r"))).alias("r"),
-            F.max(F.when(loop & (F.col("w") == 0), F.col("r"))).alias("was"),
-        )
-        state = cut(state)
-        if tolerance > 0 and (state.agg(F.sum(F.abs(F.col("r") - F.col("was")))).first()[0] or 0.0) < tolerance:
-            break
-    links.unpersist()
+    with loop_partitions(spark, links.count() + n) as parts:
+        links = links.unionByName(own).repartition(parts, "src").persist()
+        state = nodes.select("v", "dangling", F.lit(1.0 / n).alias("r"), F.lit(0.0).alias("was")).repartition(parts, "v")
+        lost = n_dangling / n
+        for i in range(rounds):
+            base = (1 - damping) / n + damping * lost / n
+            sent = links.join(state.withColumnRenamed("v", "src"), "src")
+            loop = (F.col("src") == F.col("dst")) & (F.col("w") == 0)
+            state = sent.groupBy(F.col("dst").alias("v")).agg(
+                F.max(F.when(loop, F.col("dangling"))).alias("dangling"), (F.lit(base) + damping * F.sum(F.col("w") * F.col("r"))).alias("r"),
+                F.max(F.when(loop, F.col("r"))).alias("was"),
+            )
+            # one pass gives the mass lost in the next round and the change of this one
+            state = state.persist()
+            lost, moved = state.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("r"))), F.lit(0.0)), F.sum(F.abs(F.col("r") - F.col("was")))).first()
+            last = i == rounds - 1 or (tolerance > 0 and moved < tolerance)
+            if last or i % 5 == 4:
+                kept, state = state, cut(state)
+                kept.unpersist()
+            if last:
+                break
+        links.unpersist()
     return state.select(F.col("v").alias("vertex_id"), F.col("r").alias("score"))
 
 
-def _least_label(both: DataFrame, labels: DataFrame, inner: int = 3) -> DataFrame:
-    """The least label within each undirected component: neighbours' minimum, then a jump to the label's own label."""
-    while True:
-        state = labels.withColumn("was", F.col("l"))
-        offers = both.join(state.select(F.col("v").alias("o"), "l"), "o").groupBy("v").agg(F.min("l").alias("m"))
-        state = state.join(offers, "v", "left").select("v", F.least("l", "m").alias("l"), "was")
-        jump = state.select(F.col("v").alias("l"), F.col("l").alias("far"))
-        state = cut(state.join(jump, "l", "left").select("v", F.least("l", "far").alias("l"), "was"))
-        if state.where("l < was").isEmpty():
-            return state.select("v", "l")
-        labels = state.select("v", "l")
-
-
 def wcc(edges: DataFrame) -> DataFrame:
-    """Weakly connected components; the id is the least vertex."""
+    """Weakly connected components; the id is the least vertex.
+
+    Rounds of stars, so their number is logarithmic even on long paths: every
+    vertex links its greater neighbours to the least vertex around it, then its
+    lesser ones; what is left in the end are stars about the least vertices.
+    """
     edges = materialise(edges.select("src", "dst"), "edges")
-    both = materialise(simple(edges), "both").repartition("o").persist()
-    found = _least_label(both, vertices(edges).select("v", F.col("v").alias("l")))
-    return found.select(F.col("v").alias("vertex_id"), F.col("l").alias("component_id"))
+    nodes = vertices(edges)
+    spark = edges.sparkSession
+    pairs = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
+    with loop_partitions(spark, 2 * pairs.count()):
+        pairs = cut(pairs.distinct())
+        before = None
+        while True:
+            # greater neighbours to the least vertex around
+            both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            around = both.groupBy("u").agg(F.min("v").alias("m"))
+            large = both.where("v > u").join(around, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+            # lesser neighbours, and the vertex itself, to the least of them
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+            pairs = cut(small)
+            now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
+        found = cut(nodes.join(pairs, F.col("u") == nodes["v"], "left").select(nodes["v"].alias("vertex_id"), F.coalesce(pairs["v"], nodes["v"]).alias("component_id")))
+    return found
 
 
 def scc(edges: DataFrame) -> DataFrame:
@@ -90,6 +114,11 @@ def scc(edges: DataFrame) -> DataFrame:
     In each round the least vertex that reaches a vertex is its colour; those
     that reach the colour back inside it are one component.
     """
+    with loop_partitions(edges.sparkSession, 2 * edges.count()):
+        return _strong(edges)
+
+
+def _strong(edges: DataFrame) -> DataFrame:
     left = materialise(edges.where("src <> dst").select("src", "dst").distinct(), "edges")
     rest = materialise(vertices(edges), "vertices")
     spark = edges.sparkSession
@@ -104,8 +133,8 @@ def scc(edges: DataFrame) -> DataFrame:
                 return state.select("v", "c")
 
     while True:
-        # a vertex without an edge in and one out is a component of its own
-        while True:
+        # a vertex without an edge in and one out is a component of its own; colouring does what is left after a few layers
+        for _ in range(PEELS):
             ends = left.select(F.col("src").alias("v")).distinct().join(left.select(F.col("dst").alias("v")).distinct(), "v")
             lone = materialise(rest.join(ends, "v", "left_anti"), "lone")
             if lone.isEmpty():
@@ -123,7 +152,6 @@ def scc(edges: DataFrame) -> DataFrame:
         big = F.lit(None).cast("bigint")
         marks = colour.select("v", F.when(F.col("v") == F.col("c"), F.col("c")).otherwise(big).alias("c"))
         hops = inside.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-        reached = marks
         frontier = marks.where("c is not null")
         seen = frontier
         while True:
@@ -132,7 +160,6 @@ def scc(edges: DataFrame) -> DataFrame:
             if frontier.isEmpty():
                 break
             seen = cut(seen.unionByName(frontier))
-        del reached
         found = materialise(seen, "component")
         done.append(found.select("v", "c"))
         rest = materialise(rest.join(found, "v", "left_anti"), "rest")
@@ -143,37 +170,52 @@ def scc(edges: DataFrame) -> DataFrame:
     for d in done[1:]:
         out = out.unionByName(d)
     least = out.groupBy("c").agg(F.min("v").alias("component_id"))
-    return out.join(least, "c").select(F.col("v").alias("vertex_id"), "component_id")
+    return cut(out.join(least, "c").select(F.col("v").alias("vertex_id"), "component_id"))
 
 
 def kcore(edges: DataFrame) -> DataFrame:
-    """Coreness as the fixed point of the h-index of the neighbours' values."""
-    from pyspark.sql import Window
+    """Coreness as the fixed point of the h-index of the neighbours' values.
 
-    both = materialise(simple(edges), "both").repartition("o").persist()
+    Neighbours are counted per vertex and value before they are ordered, so a
+    hub is as many rows as its neighbours have values.
+    """
+    both = materialise(simple(edges), "both")
     nodes = vertices(edges)
-    state = cut(nodes.join(both.groupBy("v").agg(F.count("*").alias("h")), "v", "left").select("v", F.coalesce("h", F.lit(0)).alias("h")))
-    order = Window.partitionBy("v").orderBy(F.desc("h"))
-    while True:
-        around = both.join(state.select(F.col("v").alias("o"), "h"), "o").select("v", "h")
-        ranked = around.withColumn("i", F.row_number().over(order)).groupBy("v").agg(F.max(F.least("h", F.col("i").cast("bigint"))).alias("new"))
-        state = cut(state.join(ranked, "v", "left").select("v", F.least(F.col("h"), F.coalesce("new", F.lit(0))).alias("h"), (F.coalesce("new", F.lit(0)) < F.col("h")).alias("moved")))
-        if state.where("moved").isEmpty():
-            return state.select(F.col("v").alias("vertex_id"), F.col("h").alias("coreness"))
-        state = state.drop("moved")
+    spark = edges.sparkSession
+    falling = Window.partitionBy("v").orderBy(F.desc("h"))
+    with loop_partitions(spark, both.count()) as parts:
+        both = both.repartition(parts, "o").persist()
+        state = cut(nodes.join(both.groupBy("v").agg(F.count("*").alias("h")), "v", "left").select("v", F.coalesce("h", F.lit(0)).alias("h")))
+        while True:
+            around = both.join(state.select(F.col("v").alias("o"), "h"), "o").groupBy("v", "h").agg(F.count("*").alias("n"))
+            ranked = around.withColumn("i", F.sum("n").over(falling)).groupBy("v").agg(F.max(F.least("h", "i")).alias("new"))
+            new = F.coalesce("new", F.lit(0))
+            state = cut(state.join(ranked, "v", "left").select("v", F.least(F.col("h"), new).alias("h"), (new < F.col("h")).alias("moved")))
+            if state.where("moved").isEmpty():
+                both.unpersist()
+                return state.select(F.col("v").alias("vertex_id"), F.col("h").alias("coreness"))
+            state = state.drop("moved")
+
+
+def oriented(both: DataFrame) -> DataFrame:
+    """``v``, ``o`` from lower to higher degree (ties by id), with the degree ``e`` of ``o``: no vertex has many out-edges."""
+    deg = both.groupBy("v").agg(F.count("*").alias("d"))
+    tagged = both.join(deg, "v").join(deg.select(F.col("v").alias("o"), F.col("d").alias("e")), "o")
+    return tagged.where(F.struct("d", "v") < F.struct("e", "o")).select("v", "o", "e")
+
+
+def closed_wedges(up: DataFrame) -> DataFrame:
+    """``a``, ``b``, ``c`` of every triangle, once, from oriented edges."""
+    ac = up.select(F.col("v").alias("a"), F.col("o").alias("c"), F.col("e").alias("ce"))
+    wedge = up.select(F.col("v").alias("a"), F.col("o").alias("b"), F.col("e").alias("be")).join(ac, "a").where(F.struct("be", "b") < F.struct("ce", "c"))
+    return wedge.join(up.select(F.col("v").alias("b"), F.col("o").alias("c")), ["b", "c"]).select("a", "b", "c")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
     """Triangles and local clustering; edges are oriented from lower to higher degree, so hubs stay short."""
     both = materialise(simple(edges), "both")
     deg = both.groupBy("v").agg(F.count("*").alias("d"))
-    rank = lambda n, d: F.struct(F.col(d), F.col(n))
-    tagged = both.join(deg, "v").join(deg.select(F.col("v").alias("o"), F.col("d").alias("e")), "o")
-    up = materialise(tagged.where(rank("v", "d") < rank("o", "e")).select("v", "o", "e"), "oriented")
-    ab = up.select(F.col("v").alias("a"), F.col("o").alias("b"))
-    ac = up.select(F.col("v").alias("a"), F.col("o").alias("c"), F.col("e").alias("ce"))
-    wedge = up.select(F.col("v").alias("a"), F.col("o").alias("b"), F.col("e").alias("be")).join(ac, "a").where(rank("b", "be") < rank("c", "ce"))
-    closed = wedge.join(ab.select(F.col("a").alias("b"), F.col("b").alias("c")), ["b", "c"])
+    closed = closed_wedges(materialise(oriented(both), "oriented"))
     corners = closed.select(F.explode(F.array("a", "b", "c")).alias("v")).groupBy("v").agg(F.count("*").alias("t"))
     out = vertices(edges).join(deg, "v", "left").join(corners, "v", "left")
     t, d = F.coalesce("t", F.lit(0)), F.coalesce("d", F.lit(0))
@@ -199,52 +241,56 @@ def similarity(edges: DataFrame, a: int = 1, b: int = 2) -> DataFrame:
     )
 
 
-EXACT_VERTICES = 2000
-PIVOTS = 32
+def numbered(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with ``n`` from 1 in the order of the columns ``by``, each range of which is sorted and numbered on its own."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = materialise(rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn(" p", F.spark_partition_id()).withColumn(" i", F.monotonically_increasing_id() - F.spark_partition_id().cast("long") * (1 << 33)), "numbered")
+    counts = {r[" p"]: r["n"] for r in spread.groupBy(" p").agg(F.count("*").alias("n")).collect()}  # one row a partition
+    at, before = [], 0
+    for p in sorted(counts):
+        at.append((p, before))
+        before += counts[p]
+    return spread.join(F.broadcast(spark.createDataFrame(at, "` p` int, ` before` bigint")), " p").withColumn("n", F.col(" i") + F.col(" before") + 1).drop(" p", " i", " before")
 
 
 def dense_order(edges: DataFrame) -> DataFrame:
     """``v`` and ``i``: vertices by first appearance in the edges sorted by source, then type, rank and target."""
-    from pyspark.sql import Window
-
     extra = [c for c in ("type", "rank") if c in edges.columns]
     # a source first appears in its own first edge unless it was a target before
-    by = Window.orderBy("src", *extra, "dst")
-    spots = edges.select("src", *extra, "dst").withColumn("n", F.row_number().over(by))
+    spots = numbered(edges.select("src", *extra, "dst"), "src", *extra, "dst")
     seen = spots.select(F.explode(F.array(F.struct((F.col("n") * 2).alias("p"), F.col("src").alias("v")), F.struct((F.col("n") * 2 + 1).alias("p"), F.col("dst").alias("v")))).alias("x"))
-    first = seen.groupBy("x.v").agg(F.min("x.p").alias("p"))
-    return first.select("v", (F.row_number().over(Window.orderBy("p")) - 1).alias("i"))
+    return numbered(seen.groupBy("x.v").agg(F.min("x.p").alias("p")), "p").select("v", (F.col("n") - 1).alias("i"))
 
 
-def _sources(edges: DataFrame, exact: bool) -> tuple[DataFrame, int, float]:
-    """All vertices if ``exact`` or the graph is small; else 32 pivots evenly spaced in dense order, with the factor to scale by."""
+def _sources(edges: DataFrame, pivots: int | None) -> tuple[DataFrame, int, int | None]:
+    """All vertices, or ``pivots`` of them evenly spaced in dense order; the number of vertices and of pivots used."""
     nodes = vertices(edges)
     n = nodes.count()
-    if exact or n <= EXACT_VERTICES:
-        return nodes.select(F.col("v").alias("start")), n, 1.0
-    at = [i * n // PIVOTS for i in range(PIVOTS)]
-    return dense_order(edges).where(F.col("i").isin(at)).select(F.col("v").alias("start")), n, n / PIVOTS
+    if pivots is None or n <= pivots:
+        return nodes.select(F.col("v").alias("start")), n, None
+    at = [i * n // pivots for i in range(pivots)]
+    return dense_order(edges).where(F.col("i").isin(at)).select(F.col("v").alias("start")), n, pivots
 
 
-def closeness(edges: DataFrame, exact: bool = False) -> DataFrame:
-    """Harmonic closeness over outgoing paths; sampled by pivots beyond ``EXACT_VERTICES`` unless ``exact``."""
-    starts, n, _ = _sources(edges, exact)
-    exact = exact or n <= EXACT_VERTICES
-    walk = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if exact else edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
+def closeness(edges: DataFrame, pivots: int | None = None) -> DataFrame:
+    """Harmonic closeness over outgoing paths; with ``pivots`` an estimate from the paths to so many vertices."""
+    starts, n, used = _sources(edges, pivots)
+    walk = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if used is None else edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
     found = distances(starts, walk, n).where("depth > 0")
-    key = "start" if exact else "end"
-    near = found.groupBy(F.col(key).alias("v")).agg(F.sum(1.0 / F.col("depth")).alias("s"))
-    by = max(n - 1, 1) if exact else PIVOTS
+    near = found.groupBy(F.col("start" if used is None else "end").alias("v")).agg(F.sum(1.0 / F.col("depth")).alias("s"))
+    by = max(n - 1, 1) if used is None else used
     return vertices(edges).join(near, "v", "left").select(F.col("v").alias("vertex_id"), (F.coalesce("s", F.lit(0.0)) / by).alias("closeness"))
 
 
-def betweenness(edges: DataFrame, normalized: bool = True, exact: bool = False) -> DataFrame:
-    """Shortest-path betweenness of directed edges; parallel edges multiply paths; sampled as in ``closeness``.
+def betweenness(edges: DataFrame, normalized: bool = True, pivots: int | None = None) -> DataFrame:
+    """Shortest-path betweenness of directed edges; parallel edges multiply paths; estimated from ``pivots`` as in ``closeness``.
 
     Path counts are gathered level by level from every source, then the
     dependencies are summed back from the farthest level.
     """
-    starts, n, scale = _sources(edges, exact)
+    starts, n, used = _sources(edges, pivots)
+    scale = 1.0 if used is None else n / used
     hops = materialise(edges.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count("*").cast("double").alias("m")), "hops")
     levels = [cut(starts.select("start", F.col("start").alias("v"), F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("start", "v")
@@ -271,12 +317,3 @@ def betweenness(edges: DataFrame, normalized: bool = True, exact: bool = False)
     total = total.groupBy("v").agg(F.sum("delta").alias("s"))
     by = (n - 1) * (n - 2) if normalized and n > 2 else 1
     return nodes.join(total, "v", "left").select(F.col("v").alias("vertex_id"), (F.coalesce("s", F.lit(0.0)) * scale / by).alias("betweenness"))
-
-
-def loop(state: DataFrame, rounds: int, step: Callable[[DataFrame], DataFrame], moved: Column) -> DataFrame:
-    """Apply ``step`` until no row ``moved`` or ``rounds`` are over."""
-    for _ in range(rounds):
-        state = cut(step(state))
-        if state.where(moved).isEmpty():
-            break
-    return state

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.algo import communities, graph, vector
+from graphloom.algo import ann, communities, graph, vector, walks
 from graphloom.errors import ExecutionError
 from graphloom.language import syntax as S
 from graphloom.store import GraphStore
@@ -31,21 +31,39 @@ def _search(store: GraphStore, a: Arguments) -> DataFrame:
     query = _one(a, None, "query", "embedding")
     if not query:
         raise ExecutionError("the search needs a query vector")
-    found = vector.search(store.vertices(label), "_id", _one(a, "embedding", "property"), query, int(_one(a, 10, "k", "top_k", "topk")), str(_one(a, "cosine", "metric")))
+    prop, k, metric = _one(a, "embedding", "property"), int(_one(a, 10, "k", "top_k", "topk")), str(_one(a, "cosine", "metric"))
+    if store.catalog.find("vertex", label).indexes.get(prop) and bool(_one(a, False, "approximate")):
+        found = ann.search(store, label, prop, query, k, metric, int(_one(a, ann.PROBES, "probes")))
+    else:
+        found = vector.search(store.vertices(label), "_id", prop, query, k, metric)
     # documented names of the same columns
     return found.select("node", "similarity", F.col("node").alias("vertex_id"), F.col("similarity").alias("score"))
 
 
+def _pivots(a: Arguments) -> int | None:
+    """The number of pivots asked for by ``sample``; all vertices without it or with ``exact``."""
+    wanted = _one(a, None, "sample", "pivots")
+    return None if wanted is None or bool(_one(a, False, "exact")) else int(wanted)
+
+
+def _moving(a: Arguments, together: Callable, in_order: Callable) -> Callable:
+    mode = str(_one(a, "synchronous", "mode")).lower()
+    if mode not in ("synchronous", "sequential"):
+        raise ExecutionError(f"unknown mode {mode}")
+    return in_order if mode == "sequential" else together
+
+
 _GRAPH: dict[str, tuple[Callable[[DataFrame, Arguments], DataFrame], tuple[str, ...]]] = {
     "algo.pagerank": (lambda e, a: graph.pagerank(e, float(_one(a, 0.85, "damping", "damping_factor")), int(_one(a, 20, "max_iter", "iterations")), float(_one(a, 1e-6, "tolerance"))), ("damping", "max_iter", "tolerance")),
     "algo.wcc": (lambda e, a: graph.wcc(e), ()),
     "algo.scc": (lambda e, a: graph.scc(e), ()),
-    "algo.louvain": (lambda e, a: communities.louvain(e, int(_one(a, 10, "max_iter", "iterations"))), ("max_iter",)),
-    "algo.lpa": (lambda e, a: communities.lpa(e, int(_one(a, 10, "max_iter", "iterations"))), ("max_iter",)),
+    "algo.louvain": (lambda e, a: _moving(a, communities.louvain, communities.louvain_sequential)(e, int(_one(a, 10, "max_iter", "iterations"))), ("max_iter",)),
+    "algo.lpa": (lambda e, a: _moving(a, communities.lpa, communities.lpa_sequential)(e, int(_one(a, 10, "max_iter", "iterations"))), ("max_iter",)),
+    "algo.node2vec": (lambda e, a: walks.node2vec(e, int(_one(a, 64, "dimensions", "dim")), int(_one(a, 10, "walk_length")), int(_one(a, 10, "num_walks", "walks_per_vertex")), float(_one(a, 1.0, "p")), float(_one(a, 1.0, "q"))), ("dimensions", "walk_length", "num_walks", "p", "q")),
     "algo.kcore": (lambda e, a: graph.kcore(e), ()),
     "algo.trianglecount": (lambda e, a: graph.triangles(e), ()),
-    "algo.betweenness": (lambda e, a: graph.betweenness(e, bool(_one(a, True, "normalized")), bool(_one(a, False, "exact"))), ("normalized", "exact")),
-    "algo.closeness": (lambda e, a: graph.closeness(e, bool(_one(a, False, "exact"))), ("exact",)),
+    "algo.betweenness": (lambda e, a: graph.betweenness(e, bool(_one(a, True, "normalized")), _pivots(a)), ("normalized", "exact")),
+    "algo.closeness": (lambda e, a: graph.closeness(e, _pivots(a)), ("exact",)),
     "algo.degree": (lambda e, a: graph.degree(e), ()),
     "algo.sssp": (lambda e, a: graph.sssp(e, int(_one(a, 1, "source"))), ("source",)),
     "algo.similarity": (lambda e, a: graph.similarity(e, int(_one(a, 1, "node1")), int(_one(a, 2, "node2"))), ("node1", "node2")),

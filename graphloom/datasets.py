@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.algo.graph import numbered
 from graphloom.session import GraphSession
 from graphloom.sources.tables import table
 from graphloom.store import GraphStore
@@ -58,10 +59,17 @@ def part_next(spark: SparkSession, folder: str) -> DataFrame:
 
 def user_next(spark: SparkSession, folder: str) -> DataFrame:
     """Users whose purchases follow each other: dense."""
-    rows = table(spark, folder, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("src"), F.lead("user_id").over(Window.orderBy("ts", "event_id")).alias("dst"))
+    spots = numbered(table(spark, folder, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id"), "ts", "event_id")
+    after = spots.select(F.col("user_id").alias("dst"), (F.col("n") - 1).alias("n"))
+    rows = spots.select(F.col("user_id").alias("src"), "n").join(after, "n")
     return rows.where("dst is not null and src <> dst").distinct()
 
 
+def entity_graph(spark: SparkSession, folder: str) -> DataFrame:
+    """All edges of ``edge_ids`` with two ends, as ``src``, ``dst``."""
+    return table(spark, folder, "edge_ids").where("src is not null and dst is not null").select("src", "dst")
+
+
 def chain_graph(spark: SparkSession, folder: str) -> GraphSession:
     """Customers of one nation and segment in the order of their balance."""
     w = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_acctbal", "c_custkey")
@@ -71,3 +79,15 @@ def chain_graph(spark: SparkSession, folder: str) -> GraphSession:
     store.register("vertex", "Customer", customers.withColumn("_id", F.col("c_custkey")), _types(customers))
     store.register("edge", "NEXT", rows, {})
     return GraphSession(spark, store)
+
+
+def ring_graph(spark: SparkSession, folder: str) -> GraphSession:
+    """Suppliers, each linked to the ones at twice and three times its key around a ring: branches and cycles."""
+    suppliers = table(spark, folder, "supplier")
+    n = suppliers.count()
+    ends = suppliers.where(F.col("s_suppkey").between(1, n - 1)).select(F.col("s_suppkey").alias("_src"), F.explode(F.array(F.lit(2), F.lit(3))).alias("m"))
+    ends = ends.select("_src", ((F.col("_src") * F.col("m")) % n).alias("_dst")).where("_dst > 0 and _src <> _dst").distinct()
+    store = GraphStore(spark)
+    store.register("vertex", "Supplier", suppliers.withColumn("_id", F.col("s_suppkey")), _types(suppliers))
+    store.register("edge", "TO", ends, {})
+    return GraphSession(spark, store)

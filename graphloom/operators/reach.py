@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.scratch import cut
+from graphloom.scratch import cut, materialise
 
 _EDGE = ["_src", "_type", "_rank", "_dst"]
 
@@ -16,7 +16,7 @@ def distances(starts: DataFrame, walk: DataFrame, most: int) -> DataFrame:
     ``walk`` has ``a`` and ``b`` in walking direction.  Breadth first: each
     round expands only what the round before found, and ends when nothing is new.
     """
-    hops = walk.select("a", "b").distinct()
+    hops = materialise(walk.select("a", "b").distinct(), "hops")  # read in every round
     seen = starts.select("start", F.col("start").alias("end"), F.lit(0).alias("depth"))
     frontier = seen
     for depth in range(1, most + 1):
@@ -40,7 +40,7 @@ def reachable(starts: DataFrame, walk: DataFrame, least: int, most: int, with_ed
 def trails(starts: DataFrame, walk: DataFrame, least: int, most: int, with_edge: bool) -> DataFrame:
     """Distinct ends of walks of ``least`` to ``most`` hops that use no edge twice; the start is left out."""
     key = F.concat_ws("\x1f", *_EDGE)
-    steps = walk.withColumn("key", key)
+    steps = materialise(walk.withColumn("key", key), "steps")
     rows = starts.select("start", F.col("start").alias("end"), F.array().cast("array<string>").alias("used"))
     found = None
     cols = ["start", "end", *(_EDGE if with_edge else [])]

@@ -13,6 +13,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,6 +86,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_ROWS = 200_000  # rows of state or edges per partition of a loop
+
+
+@contextmanager
+def loop_partitions(spark: SparkSession, rows: int) -> Iterator[int]:
+    """Shuffle into as many partitions as ``rows`` ask for, at most those of the session.
+
+    Rounds of a loop join frames that are partitioned alike, so the adaptive
+    planner, which would coalesce each of them differently, is off inside.
+    """
+    wanted = {"spark.sql.shuffle.partitions": str(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(rows / _ROWS)))), "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield int(wanted["spark.sql.shuffle.partitions"])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint; keeps the hash partitioning for the next join."""
     shared_dir(df.sparkSession)

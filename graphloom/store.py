@@ -41,6 +41,7 @@ class GraphStore:
         self.catalog = Catalog()
         self.version = 0
         self._tables: dict[tuple[str, str], _Table] = {}
+        self.vector_indexes: dict = {}
 
     # definition
 
@@ -215,7 +216,7 @@ class GraphStore:
         known = json.loads(self.spark.read.text(f"{root}/catalog", wholetext=True).first()[0])
         self.catalog = Catalog.from_description(known)
         self.version = int(known["version"])
-        self._tables = {}
+        self._tables, self.vector_indexes = {}, {}
         for kind, entities in (("vertex", self.catalog.labels), ("edge", self.catalog.types)):
             for name in entities:
                 schema: T.StructType = self.catalog.schema(kind, name)

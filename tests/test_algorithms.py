@@ -1,12 +1,15 @@
+import random
+
 import pytest
 
 from graphloom import queries_graph
-from graphloom.algo import communities, graph
+from graphloom.algo import communities, graph, walks
+from graphloom.errors import ExecutionError
 from graphloom.session import GraphSession
 
-# golden values of a 4-vertex and an 8-vertex graph, computed independently
+# golden values of a 4-vertex graph, computed independently
 FOUR = [(1, 2), (2, 3), (3, 1), (3, 4)]
-MULES = [(101, 102), (101, 103), (101, 104), (102, 105), (103, 105), (104, 105), (105, 101), (201, 202), (201, 203)]
+ISLANDS = [(10, 20), (20, 30), (30, 10), (30, 40), (40, 50), (50, 40), (20, 50), (60, 70), (60, 80), (70, 80), (80, 90)]
 
 
 def _graph(spark, edges):
@@ -42,31 +45,167 @@ def test_four_vertices(four, call, column, want):
     assert got == pytest.approx(want, abs=1e-5)
 
 
-def test_two_components(spark):
-    g = _graph(spark, MULES)
+def _hops(edges, start):
+    """Distance and number of shortest paths from ``start``."""
+    far, paths, layer = {start: 0}, {start: 1}, [start]
+    while layer:
+        found = {}
+        for u in layer:
+            for a, b in edges:
+                if a == u and b not in far:
+                    found[b] = found.get(b, 0) + paths[u]
+        far |= dict.fromkeys(found, far[layer[0]] + 1)
+        paths |= found
+        layer = list(found)
+    return far, paths
+
+
+def _brute(edges):
+    nodes = sorted({v for e in edges for v in e})
+    reach = {v: _hops(edges, v) for v in nodes}
+    undirected = {frozenset(e) for e in edges if e[0] != e[1]}
+    ring = [(a, b) for e in undirected for a, b in (tuple(e), tuple(e)[::-1])]
+    core, left = {}, set(nodes)
+    for k in range(len(nodes)):
+        while weak := {v for v in left if sum(a == v and b in left for a, b in ring) <= k}:
+            core |= dict.fromkeys(weak, k)
+            left -= weak
+    between = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        for t in nodes:
+            for v in nodes:
+                if len({s, t, v}) == 3 and t in reach[s][0] and v in reach[s][0] and t in reach[v][0] and reach[s][0][v] + reach[v][0][t] == reach[s][0][t]:
+                    between[v] += reach[s][1][v] * reach[v][1][t] / reach[s][1][t]
+    return {
+        "wcc": {v: min(_hops(ring, v)[0]) for v in nodes}, "scc": {v: min(u for u in nodes if u in reach[v][0] and v in reach[u][0]) for v in nodes},
+        "kcore": core, "betweenness": between, "closeness": {v: sum(1 / d for d in reach[v][0].values() if d) / max(len(nodes) - 1, 1) for v in nodes},
+        "sssp": {v: reach[nodes[0]][0].get(v, 4294967295) for v in nodes},
+    }
+
+
+def test_components_and_centralities_equal_brute_force(spark):
+    r = random.Random(3)
+    sparse = [(r.randrange(40), r.randrange(40)) for _ in range(45)]
+    path = [(i, i + 1) for i in range(100, 130)] + [(i + 1, i) for i in range(140, 160)]
+    for edges in (ISLANDS, sparse, path):
+        df = spark.createDataFrame(edges + edges[:3], "src bigint, dst bigint")
+        want = _brute(edges)
+        values = lambda found: {x[0]: x[1] for x in found.collect()}
+        assert values(graph.wcc(df)) == want["wcc"]
+        assert values(graph.kcore(df)) == want["kcore"]
+        assert values(graph.sssp(df, min(v for e in edges for v in e))) == want["sssp"]
+        once = df.distinct()
+        assert values(graph.closeness(once)) == pytest.approx(want["closeness"])
+        if edges is not path:
+            assert values(graph.scc(df)) == want["scc"]
+            assert values(graph.betweenness(once, False)) == pytest.approx(want["betweenness"])
+
+
+def test_a_long_path_is_one_weak_component_and_many_strong_ones(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(60)], "src bigint, dst bigint")
+    assert {x[1] for x in graph.wcc(df).collect()} == {0}
+    assert all(x[0] == x[1] for x in graph.scc(df.where("src < 24")).collect())
+
+
+def test_pagerank_equals_power_iteration(spark):
+    edges = ISLANDS + [(10, 20), (90, 90)]
+    nodes = sorted({v for e in edges for v in e})
+    n, rank = len(nodes), dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(7):
+        lost = sum(x for v, x in rank.items() if all(a != v for a, _ in edges))
+        rank = {v: 0.15 / n + 0.85 * lost / n + 0.85 * sum(rank[a] / sum(c == a for c, _ in edges) for a, b in edges if b == v) for v in nodes}
+    got = {x[0]: x[1] for x in graph.pagerank(spark.createDataFrame(edges, "src bigint, dst bigint"), 0.85, 7, 0.0).collect()}
+    assert got == pytest.approx(rank) and sum(got.values()) == pytest.approx(1)
+
+
+def test_similarity_and_communities_by_call(spark):
+    g = _graph(spark, ISLANDS)
     by = lambda call, c: {r["vertex_id"]: r[c] for r in g.query(f"CALL {call}").collect()}
-    assert set(by("algo.wcc()", "component_id").values()) == {101, 201}
-    assert by("algo.scc()", "component_id") == {101: 101, 102: 101, 103: 101, 104: 101, 105: 101, 201: 201, 202: 202, 203: 203}
-    assert by("algo.sssp({source: 101})", "distance")[202] == 4294967295
-    assert by("algo.betweenness(false)", "betweenness")[102] == pytest.approx(1 / 3)
-    assert by("algo.kCore()", "coreness")[105] == 2
-    row = g.query("CALL algo.similarity(102, 103)").first()
-    assert (row["jaccard"], row["cosine"], row["common_neighbors"]) == (1, 1, 1)
-    assert len(set(by("algo.louvain()", "community_id").values())) >= 2
-    assert len(set(by("algo.lpa()", "community_id").values())) >= 2
+    row = g.query("CALL algo.similarity(10, 60)").first()
+    assert (row["jaccard"], row["cosine"], row["common_neighbors"]) == (0, 0, 0)
+    row = g.query("CALL algo.similarity(20, 40)").first()
+    assert row["jaccard"] == pytest.approx(1 / 2) and row["cosine"] == pytest.approx(1 / 2**0.5)
+    for call in ("algo.louvain()", "algo.lpa()", "algo.louvain({mode: 'sequential'})", "algo.lpa({mode: 'sequential'})"):
+        found = by(call, "community_id")
+        assert set(found) == {v for e in ISLANDS for v in e} and not {found[v] for v in (10, 20, 30, 40, 50)} & {found[v] for v in (60, 70, 80, 90)}
     assert g.query("CALL algo.degree() YIELD vertex_id AS v, in_degree").columns == ["v", "in_degree"]
+    with pytest.raises(ExecutionError):
+        g.query("CALL algo.lpa({mode: 'none'})")
+
+
+def test_sequential_passes_visit_in_order(spark):
+    """Two triangles and a bridge: the sequential passes settle on one community each."""
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 4)], "src bigint, dst bigint")
+    for found in (communities.lpa_sequential(edges), communities.louvain_sequential(edges), communities.louvain(edges)):
+        label = {x[0]: x[1] for x in found.collect()}
+        assert label[1] == label[2] == label[3] != label[4] == label[5] == label[6]
+        assert communities.modularity(edges, found) == pytest.approx(6 / 7 - 2 * (7 / 14) ** 2)
+    assert communities.lpa(edges.limit(0)).count() == communities.lpa_sequential(edges.limit(0)).count() == 0
 
 
-def test_centralities_stay_exact_in_large_graphs(spark, monkeypatch):
-    # as though 60 vertices were beyond the limit; pivots would see 32 sources only
+def test_numbering_and_dense_order(spark):
+    r = random.Random(4)
+    data = [(r.randrange(50), r.randrange(50), i) for i in range(300)]
+    df = spark.createDataFrame(data, "src bigint, dst bigint, rank int").repartition(7)
+    assert [(x.src, x.dst, x["rank"]) for x in graph.numbered(df, "src", "dst", "rank").orderBy("n").collect()] == sorted(data)
+    seen = list(dict.fromkeys(v for a, b, _ in sorted(data, key=lambda x: (x[0], x[2], x[1])) for v in (a, b)))
+    assert [x["v"] for x in graph.dense_order(df).orderBy("i").collect()] == seen
+
+
+def test_pivots_estimate_only_when_asked_for(spark):
     edges = spark.createDataFrame([(i, (i * 7 + j) % 60) for i in range(60) for j in (1, 3)], "src bigint, dst bigint").where("src <> dst")
-    monkeypatch.setattr(queries_graph, "user_next", lambda *_: edges)
-    score = lambda name, column: [r[column] for r in queries_graph.QUERIES[name](spark, "").orderBy("vertex_id").collect()]
-    want = score("closeness", "closeness"), score("betweenness", "betweenness")
-    monkeypatch.setattr(graph, "EXACT_VERTICES", 40)
-    assert (score("closeness", "closeness"), score("betweenness", "betweenness")) == want
-    sampled = [r["closeness"] for r in graph.closeness(edges).orderBy("vertex_id").collect()]
-    assert sampled != pytest.approx(want[0], abs=1e-5)
+    score = lambda found: [x[1] for x in found.orderBy("vertex_id").collect()]
+    whole = score(graph.closeness(edges))
+    assert score(graph.closeness(edges, 60)) == whole
+    some = score(graph.closeness(edges, 20))
+    assert some != pytest.approx(whole, abs=1e-5) and some == pytest.approx(whole, rel=0.5)
+    assert sum(score(graph.betweenness(edges, True, 20))) == pytest.approx(sum(score(graph.betweenness(edges))), rel=0.3)
+
+
+def test_walks_and_embeddings(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 2_000_000), (2_000_000, 7_000_000), (9, 9)], "src bigint, dst bigint")
+    links = {tuple(x) for x in edges.collect()}
+    rows_ = walks.walks(edges, 6, 4, 0.5, 2.0).collect()
+    paths = {}
+    for x in sorted(rows_, key=lambda x: x["step"]):
+        paths.setdefault(tuple(x["walk"]), []).append(x["v"])
+    assert len(paths) == 6 * 4 and all((a, b) in links for p in paths.values() for a, b in zip(p, p[1:]))
+    assert max(map(len, paths.values())) == 6 and paths[7_000_000, 0] == [7_000_000]
+    found = walks.node2vec(edges, 8, 6, 4)
+    vectors = {x[0]: x[1] for x in found.collect()}
+    assert set(vectors) == {1, 2, 3, 9, 2_000_000, 7_000_000} and all(len(v) == 8 and sum(y * y for y in v) == pytest.approx(1) for v in vectors.values())
+    assert all(x[1] == pytest.approx(vectors[x[0]]) for x in walks.node2vec(edges.repartition(3), 8, 6, 4).collect())
+    assert walks.node2vec(edges.limit(0)).count() == walks.node2vec(edges, 0).count() == 0
+    # a second-order walk with a great p seldom turns back
+    ring = spark.createDataFrame([(i, (i + d) % 30) for i in range(30) for d in (1, 29)], "src bigint, dst bigint")
+    turns = lambda p: sum(a == c for w in _paths(walks.walks(ring, 8, 5, p, 1.0)) for a, c in zip(w, w[2:]))
+    assert turns(50.0) * 5 < turns(1.0)
+    g = _graph(spark, ISLANDS)
+    assert g.query("CALL algo.node2vec({dim: 4, walk_length: 3, num_walks: 2}) YIELD vertex_id, embedding").count() == 9
+
+
+def _paths(rows_):
+    out = {}
+    for x in sorted(rows_.collect(), key=lambda x: x["step"]):
+        out.setdefault(tuple(x["walk"]), []).append(x["v"])
+    return out.values()
+
+
+def test_vector_index(spark):
+    r = random.Random(6)
+    g = GraphSession(spark)
+    g.script("CREATE VERTEX Item (vec VECTOR(8)); CREATE VECTOR INDEX ON :Item(vec)")
+    data = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(600)] + [(700, [1.0]), (701, None)]
+    g.store.ingest(spark.createDataFrame(data, "id bigint, vec array<double>"), "Item")
+    hits = 0
+    for q in range(0, 600, 60):
+        call = f"CALL vector.search({{label: 'Item', property: 'vec', query: {data[q][1]}, k: 5"
+        exact = [x["node"] for x in g.query(call + "})").collect()]
+        assert [x["node"] for x in g.query(call + ", approximate: true, probes: 1024})").collect()] == exact
+        hits += len(set(exact) & {x["node"] for x in g.query(call + ", approximate: true, probes: 8})").collect()})
+    assert hits >= 0.9 * 50
+    g.query("INSERT VERTEX Item (id, vec) VALUES (900, [9, 9, 9, 9, 9, 9, 9, 9])")  # the index follows the graph
+    assert g.query("CALL vector.search({label: 'Item', property: 'vec', query: [1, 1, 1, 1, 1, 1, 1, 1], k: 1, approximate: true})").first()["node"] == 900
 
 
 @pytest.mark.parametrize(("query", "operator"), [("lpa_sync", "lpa"), ("louvain", "louvain")])
