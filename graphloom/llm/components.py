@@ -15,31 +15,15 @@ they are and bounds the rows of one key.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.scratch import cut, materialise
+from graphloom.scratch import cut, loop_partitions, materialise
 
 HUB = 20_000  # matches of one vertex beyond which it is split
 _STEPS = 3  # hops between two checks for the end of growth
-_ROWS = 200_000  # edges per partition of a level
-
-
-@contextmanager
-def _partitions(spark: SparkSession, rows: int) -> Iterator[int]:
-    """Shuffle into as many partitions as ``rows`` ask for, at most those of the session."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    n = max(1, min(int(before), math.ceil(rows / _ROWS)))
-    spark.conf.set(name, str(n))
-    try:
-        yield n
-    finally:
-        spark.conf.set(name, before)
 
 
 def split_hubs(both: DataFrame, hub: int) -> tuple[DataFrame, int | None]:
@@ -120,7 +104,7 @@ def group_ids(pairs: DataFrame, a: str, b: str, beta: float = 0.3, seed: int = 7
         n = edges.count()
         if not n:
             break
-        with _partitions(spark, 2 * n) as parts:
+        with loop_partitions(spark, 2 * n) as parts:
             loops = edges.select("v").distinct().select("v", F.col("v").alias("o"), F.lit(0.0).alias("w"))
             hops = edges.select("v", "o", F.lit(1.0).alias("w")).unionByName(loops).repartition(parts, "o").persist(StorageLevel.MEMORY_AND_DISK)
             ceiling = float(max(2, math.ceil(2 * math.log(n + 2) / beta)))  # a draw exceeds it with a chance of about 1/n^2
