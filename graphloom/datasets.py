@@ -61,7 +61,7 @@ def user_next(spark: SparkSession, folder: str) -> DataFrame:
     """Users whose purchases follow each other: dense."""
     spots = numbered(table(spark, folder, "events").where("event_type = 'purchase'").select("user_id", "ts", "event_id"), "ts", "event_id")
     after = spots.select(F.col("user_id").alias("dst"), (F.col("n") - 1).alias("n"))
-    rows = spots.select(F.col("user_id").alias("src"), "n").join(after, "n")
+    rows = spots.select(F.col("user_id").alias("src"), "n").join(after, "n").select("src", "dst")
     return rows.where("dst is not null and src <> dst").distinct()
 
 
