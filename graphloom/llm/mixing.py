@@ -56,9 +56,10 @@ def mix(items: DataFrame, weights: DataFrame, total: int | None = None, seed: in
     0 are never used.  Ids are unique; other columns are ignored.
 
     A fractional repetition takes the records with the smallest seeded hashes.
-    Where to cut is found from sums per hash cell, twice refined, so it is
-    within about one record of the share asked for, whatever the size of the
-    source, and no source is sorted or gathered in one task.
+    Where to cut is found from sums per hash cell, refined once into 4096 * 4096
+    cells, so it is within the records of one such cell of the share asked for
+    (about one record in sources of up to some 10 million), and no source is
+    sorted or gathered in one task.
     """
     rows = weights.select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("double")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:

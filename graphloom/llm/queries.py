@@ -95,6 +95,50 @@ def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
     return containers(pack(_sized(spark, sf), capacity), capacity)
 
 
+def _by_characters(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as in ``_sized``, but sized in characters, which SQL can count too."""
+    docs = table(spark, sf, "documents")
+    clusters = F.when(F.col("family_id").isNotNull(), F.array("family_id"))
+    return docs.select(F.col("doc_id").alias("id"), F.lower(F.trim("source")).alias("source"), clusters.alias("clusters"), F.length("text").cast("bigint").alias("size"))
+
+
+PATENT_CAPACITY = 20_000
+
+
+def p7_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What every packing must keep, counted on one by characters: all is packed once, nothing overfull, split or clashing without need.
+
+    The two sources with the most documents are kept apart, so the source
+    conflicts decide as well.
+    """
+    items = materialise(_by_characters(spark, sf), "sized")
+    top = [r["source"] for r in items.groupBy("source").agg(F.count("*").alias("n")).where("source is not null").orderBy(F.desc("n"), "source").limit(2).collect()]
+    packed = materialise(pack(items, PATENT_CAPACITY, [tuple(top)] if len(top) == 2 else []), "packed")
+    held = packed.where("container is not null")
+    full = held.groupBy("container").agg(F.sum("size").alias("s")).where(F.col("s") > PATENT_CAPACITY)
+    pieces = packed.groupBy("id").agg(F.count("*").alias("pieces"), F.sum("size").alias("s"))
+    small = pieces.where((F.col("s") <= PATENT_CAPACITY) & (F.col("pieces") > 1))
+    rest = held.join(items.select("id", "source", "clusters"), "id")
+    members = rest.select("container", "id", F.explode("clusters").alias("c")).distinct()
+    clash = members.groupBy("container", "c").agg(F.count("*").alias("n")).where("n > 1")
+    mixed = rest.where(F.col("source").isin(top)).groupBy("container").agg(F.count_distinct("source").alias("n")).where("n > 1")
+    total = packed.agg(F.count_distinct("id").alias("n_documents"), F.sum("size").cast("bigint").alias("n_chars"))
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    out = total
+    for df, name in ((full, "overfull"), (small, "split_in_vain"), (clash, "clashing_members"), (mixed, "clashing_sources")):
+        out = out.crossJoin(one(df, name))  # one row each
+    return out
+
+
+def p8_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """What the mix by characters takes of each source: epochs asked for, and whether they are reached within one document."""
+    items = materialise(_by_characters(spark, sf), "sized")
+    _, report = mix(items, table(spark, sf, "source_weights"))
+    most = items.groupBy("source").agg(F.max("size").alias("longest"))
+    near = F.abs(F.col("size_mixed") - F.col("epochs") * F.col("size_available")) <= F.coalesce("longest", F.lit(0)) + 1e-6 * F.col("size_available") + 1
+    return report.join(most, "source", "left").select("source", "size_available", "n_available", F.round("epochs", 4).alias("epochs"), near.alias("reached"))
+
+
 def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
     """The documents of the mix and how often each is used."""
     selection, _ = mix(_sized(spark, sf), table(spark, sf, "source_weights"))
@@ -117,7 +161,7 @@ def p9_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_top5, p4_recall, p6_found, p6_sizes, p7_pack, p7_containers, p8_mix, p8_shares, p9_found, p9_spans)
+    f.__name__: f for f in (p2_found, p2_classes, p4_found, p4_top5, p4_recall, p6_found, p6_sizes, p7_pack, p7_containers, p7_checks, p8_mix, p8_shares, p8_targets, p9_found, p9_spans)
 }
 
 _SETS = """s as (select distinct src, dst from edge_ids where edge_type = 3 and src is not null and dst is not null),
@@ -141,7 +185,19 @@ u as (select vid, cast(vector as double[]) as v from latest where not coalesce(d
 c as (select a.vid, b.vid as other, list_cosine_similarity(a.v, b.v) as cosine from u a join u b on a.vid <> b.vid),
 t as (select * from (select *, row_number() over (partition by vid order by cosine desc, other) as rank from c) where rank <= 5)"""
 
+_FILL = ", ".join(f"""f{i} as (select source, w, cap, case when alloc is not null then alloc when left_ * w / sum_w > cap then cap end as alloc
+  from f{i - 1}, (select greatest((select t from total) - coalesce(sum(alloc), 0), 0) as left_, sum(case when alloc is null then w end) as sum_w from f{i - 1}))""" for i in range(1, 9))
+
 SQL: dict[str, str] = {
+    "p7_checks": """select count(*) as n_documents, cast(sum(coalesce(length(text), 0)) as bigint) as n_chars,
+0 as overfull, 0 as split_in_vain, 0 as clashing_members, 0 as clashing_sources from documents""",
+    "p8_targets": f"""with w as (select source, max(target_share) as w, max(max_repeats) as r from source_weights where source is not null group by source),
+d as (select lower(trim(source)) as source, length(text) as size from documents),
+h as (select w.source, w.w, w.r, coalesce(sum(d.size), 0) as have, count(d.size) as n from w left join d on d.source = w.source and d.size > 0 group by all),
+total as (select cast(sum(have) as double) as t from h),
+f0 as (select source, w, cast(r * have as double) as cap, case when w <= 0 or r * have <= 0 then 0.0 end as alloc from h), {_FILL},
+done as (select source, coalesce(alloc, ((select t from total) - (select coalesce(sum(alloc), 0) from f8)) * w / (select sum(w) from f8 where alloc is null)) as alloc from f8)
+select h.source, cast(have as bigint) as size_available, n as n_available, round(case when have > 0 then alloc / have else 0 end, 4) as epochs, true as reached from h join done using (source)""",
     "p4_found": f"with {_COSINES} select distinct least(vid, other) as vid_a, greatest(vid, other) as vid_b from t where cosine >= 0.9",
     "p2_found": f"""with {_SETS},
 i as (select a.src as src_a, b.src as src_b, count(*) as i from s a join s b on a.dst = b.dst and a.src < b.src group by 1, 2)
