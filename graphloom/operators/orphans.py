@@ -74,7 +74,7 @@ class OrphanLedger:
     epoch: int = 0
     buckets: int = 16
     merge_after: int = 8
-    _few: list[int] = field(default_factory=list)  # kinds with few parents
+    _most: dict[int, int] = field(default_factory=dict)  # per kind, no fewer than the parents it has
 
     def __post_init__(self) -> None:
         self.home = self.home or scratch_path(self.spark, "orphans")
@@ -101,14 +101,14 @@ class OrphanLedger:
             rows = rows.unionByName(self._read("merged", _PARENT, [merged], buckets))
         return rows.groupBy("kind", "key", "b").agg(F.max(F.struct("seen", "born", "gone")).alias("s")).select("kind", "key", "s.*", "b")
 
-    def _judged(self, refs: DataFrame, against: DataFrame, how: str) -> DataFrame:
+    def _judged(self, refs: DataFrame, against: DataFrame, how: str, few: list[int]) -> DataFrame:
         """References with their verdict; kinds with few parents are broadcast, so their hot keys are not shuffled."""
         parent = against.select(F.col("kind").alias("p_kind"), F.col("key").alias("p_key"), "born", "gone")
         on = (F.col("ref_key") == F.col("p_key")) & (F.col("kind") == F.col("p_kind"))
-        many = refs.where(~F.col("kind").isin(self._few)).join(parent.where(~F.col("p_kind").isin(self._few)), on, how)
-        few = refs.where(F.col("kind").isin(self._few)).join(F.broadcast(parent.where(F.col("p_kind").isin(self._few))), on, how)  # at most _FEW rows a kind
+        many = refs.where(~F.col("kind").isin(few)).join(parent.where(~F.col("p_kind").isin(few)), on, how)
+        small = refs.where(F.col("kind").isin(few)).join(F.broadcast(parent.where(F.col("p_kind").isin(few))), on, how)  # at most _FEW rows a kind
         verdict = _reason(F.col("p_key").isNotNull(), F.col("born"), F.col("gone"), F.col("at"))
-        return (many.unionByName(few) if self._few else many).withColumn("reason", F.when(F.col("ref_key").isNotNull(), verdict))
+        return (many.unionByName(small) if few else many).withColumn("reason", F.when(F.col("ref_key").isNotNull(), verdict))
 
     def advance(self, new_references: DataFrame, new_parents: DataFrame) -> int:
         """Apply one batch; replaying the same batch number overwrites it."""
@@ -118,7 +118,11 @@ class OrphanLedger:
         came = new_parents.groupBy("kind", "key").agg(F.max(F.struct("seen", "born", "gone")).alias("new")).withColumn("b", self._bucket("kind", "key"))
         self._write(came, "came")
         came = self._read("came", "kind int, key bigint, new struct<seen timestamp_ntz, born timestamp_ntz, gone timestamp_ntz>, b int", [self.epoch])
-        touched = [r["b"] for r in came.select("b").distinct().collect()]  # at most ``buckets``
+        met = came.groupBy("kind", "b").agg(F.count("*").alias("n")).collect()  # at most kinds times ``buckets`` rows
+        touched = sorted({r["b"] for r in met})
+        for r in met:
+            self._most[r["kind"]] = self._most.get(r["kind"], 0) + r["n"]
+        few = [k for k, n in self._most.items() if n <= _FEW]
         old = self._parents(before, touched).select("kind", "key", F.struct("seen", "born", "gone").alias("was"))
         newer = came.join(old, ["kind", "key"], "left").where(F.col("was").isNull() | (F.col("new") > F.col("was")))
         moved = F.col("was").isNull() | ~F.struct("new.born", "new.gone").eqNullSafe(F.struct("was.born", "was.gone"))
@@ -128,16 +132,14 @@ class OrphanLedger:
             whole = self_rows.unionByName(self._read("merged", _PARENT, [previous])) if previous else self_rows
             self._write(whole.groupBy("kind", "key", "b").agg(F.max(F.struct("seen", "born", "gone")).alias("s")).select("kind", "key", "s.*", "b"), "merged", "b")
         index = self._parents(self.epoch)
-        self._few = [r["kind"] for r in index.groupBy("kind").agg(F.count("*").alias("n")).where(F.col("n") <= _FEW).collect()]  # one row a kind
         # references that come in
         self._write(new_references.withColumn("b", self._bucket("kind", "ref_key")), "refs", "b")
         mine = self._read("refs", f"{_REF}, b int", [self.epoch])
-        verdicts = self._judged(mine, index, "left").where(F.col("reason").isNotNull() | F.col("versioned"))
+        verdicts = self._judged(mine, index, "left", few).where(F.col("reason").isNotNull() | F.col("versioned"))
         # references that rest on, or wait for, a parent that moved
         changed = self._read("parents", f"{_PARENT}, moved boolean", [self.epoch]).where("moved")
         if before:
-            hit = [r["b"] for r in changed.select("b").distinct().collect()]
-            again = self._judged(self._read("refs", f"{_REF}, b int", list(range(1, before + 1)), hit), changed, "inner")
+            again = self._judged(self._read("refs", f"{_REF}, b int", list(range(1, before + 1)), touched), changed, "inner", few)
             verdicts = verdicts.unionByName(again)
         verdicts = verdicts.select(
             "ref_table", "ref_field", "rec_key", F.when(~F.col("versioned"), F.col("ref_key")).alias("k_ref"), F.when(~F.col("versioned"), F.col("at")).alias("k_at"), "versioned",
