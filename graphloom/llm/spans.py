@@ -134,10 +134,11 @@ def _counts(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
 
 
 def _count(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Windows per minimiser, summed up per flush."""
+    """Windows per minimiser, summed up per flush; as that of -1 the characters of the texts."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for _, _, texts in _chunks(batches, length):
+        held.append((np.array([-1]).view(np.uint64), np.array([sum(map(len, texts))])))
         v = _windows(texts, length)[3] >> np.uint64(_BITS)
         starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         held.append((v[starts], np.diff(np.append(starts, len(v)))))
@@ -332,14 +333,14 @@ def _groups(points: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int)
     return order, np.flatnonzero(np.append(True, np.diff(first[order]) != 0))
 
 
-def _shared_windows(pieces: list[np.ndarray], low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared_windows(pieces: list[bytes], low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches (string, first, after the last) of windows that occur in two records; low and high: records holding a string."""
-    counts = np.array([len(p) for p in pieces], np.int32) - np.int32(length - 1)
+    counts = np.array([len(p) for p in pieces], np.int32) // np.int32(4) - np.int32(length - 1)
     ends = np.cumsum(counts)
     n = int(ends[-1])
     owner = np.repeat(np.arange(len(pieces), dtype=np.int32), counts)
     at = np.arange(n) + owner.astype(np.int64) * (length - 1)
-    order, starts = _groups(np.concatenate(pieces), at, owner, length)
+    order, starts = _groups(np.frombuffer(b"".join(pieces), np.uint32), at, owner, length)
     by = owner[order]
     lo, hi = np.minimum.reduceat(low[by], starts), np.maximum.reduceat(high[by], starts)
     flags = np.empty(n, bool)
@@ -385,20 +386,16 @@ def _solve(rows: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[np.nd
     # equal strings of different flushes are merged
     number: dict[bytes, int] = {}
     piece_of = np.full(n_strings, -1, np.int64)
-    pieces: list[np.ndarray] = []
+    pieces: list[bytes] = []
     keep = np.zeros(n_strings, bool)
     keep[wanted] = True
     for i, (_, packed) in enumerate(rows):
         mine = np.flatnonzero(keep & (src == i))
         if not len(mine):
             continue
-        points = _points(unpack.decompress(packed).decode("utf-8", "surrogatepass"))
-        for j, a, n in zip(mine.tolist(), off[mine].tolist(), size[mine].tolist()):
-            raw = points[a : a + n].tobytes()
-            k = number.setdefault(raw, len(pieces))
-            if k == len(pieces):
-                pieces.append(np.frombuffer(raw, np.uint32))
-            piece_of[j] = k
+        text = unpack.decompress(packed).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+        piece_of[mine] = [number.setdefault(text[a:b], len(number)) for a, b in zip((4 * off[mine]).tolist(), (4 * (off[mine] + size[mine])).tolist())]
+    pieces = list(number)
     number.clear()
     by_piece = wanted[np.argsort(piece_of[wanted], kind="stable")]
     first = np.flatnonzero(np.diff(piece_of[by_piece], prepend=-1))
@@ -421,7 +418,7 @@ def _solve(rows: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[np.nd
         return doc[at], base + a[each], base + b[each] + length - 1
 
     line = np.argsort(key_of, kind="stable")
-    windows = np.cumsum(np.array([len(pieces[p]) - length + 1 for p in line.tolist()]))
+    windows = np.cumsum(size[by_piece[first]][line] - length + 1)
     last = np.flatnonzero(np.append(np.diff(key_of[line].astype(np.int64)) != 0, True))  # ends of keys
     done = 0
     for at in last.tolist():
@@ -471,18 +468,22 @@ def shared_spans(docs: DataFrame, record: str, text: str, length: int = 160, hea
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(record).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull() & (F.length("text") >= length))
-    total = rows.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
-    least = max(heavy, total >> 20)  # so each list below has less than 2**20 rows
 
-    def beyond(counts: DataFrame) -> np.ndarray:
-        found = counts.groupBy("v").agg(F.sum("n").alias("n")).where(F.col("n") > least).select("v").toPandas()
-        return np.sort(found["v"].to_numpy(np.int64).view(np.uint64))
-
-    lot = beyond(rows.mapInArrow(lambda it: _count(it, length), "v bigint, n bigint"))
-    far = _NONE
+    def beyond(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The greatest counts of more than ``least``, at most 2**20 of them, by key."""
+        found = counts.groupBy("v").agg(F.sum("n").alias("n")).where((F.col("n") > least) | (F.col("v") == -1)).orderBy(F.desc("n"), "v").limit((1 << 20) + 1).toPandas()
+        key, n = found["v"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+        order = np.argsort(key)
+        return key[order], n[order]
+
+    lot, n = beyond(rows.mapInArrow(lambda it: _count(it, length), "v bigint, n bigint"), heavy)
+    told = lot == np.array([-1]).view(np.uint64)
+    total = int(n[told].sum())
+    least = max(heavy, total >> 20)  # fewer than 2**20 keys have more
+    lot, far = lot[~told & (n > least)], _NONE
     if len(lot):
         first = spark.sparkContext.broadcast((lot,))
-        far = beyond(rows.mapInArrow(lambda it: _count_steps(it, length, first), "v bigint, n bigint"))
+        far = beyond(rows.mapInArrow(lambda it: _count_steps(it, length, first), "v bigint, n bigint"), least)[0]
     lots = spark.sparkContext.broadcast((lot, far))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(total / _BUCKET))
     packed = rows.mapInArrow(lambda it: _pack(it, length, buckets, lots), "bucket int, meta binary, packed binary")
