@@ -20,7 +20,8 @@ from graphloom.scratch import delete, scratch_path
 
 _PARENT = "kind int, key bigint, seen timestamp_ntz, born timestamp_ntz, gone timestamp_ntz, b int"
 _REF = "kind int, ref_table string, ref_field string, rec_key bigint, ref_key bigint, at timestamp_ntz, seen timestamp_ntz, versioned boolean"
-_VERDICT = "ref_table string, ref_field string, rec_key bigint, k_ref bigint, k_at timestamp_ntz, versioned boolean, seen timestamp_ntz, ref_key bigint, at timestamp_ntz, epoch int, reason string"
+_VERDICT = "ref_table string, ref_field string, rec_key bigint, ref_key bigint, at timestamp_ntz, seen timestamp_ntz, versioned boolean, epoch int, reason string"
+_REASONS = ("", "missing", "deleted", "late")  # the first stands for none
 _FEW = 100_000  # parents of a kind that may be broadcast
 
 
@@ -141,16 +142,18 @@ class OrphanLedger:
         if before:
             again = self._judged(self._read("refs", f"{_REF}, b int", list(range(1, before + 1)), touched), changed, "inner", few)
             verdicts = verdicts.unionByName(again)
-        verdicts = verdicts.select(
-            "ref_table", "ref_field", "rec_key", F.when(~F.col("versioned"), F.col("ref_key")).alias("k_ref"), F.when(~F.col("versioned"), F.col("at")).alias("k_at"), "versioned",
-            F.when(F.col("versioned"), F.col("seen")).alias("seen"), "ref_key", "at", F.lit(self.epoch).cast("int").alias("epoch"), "reason",
-        )
+        verdicts = verdicts.withColumn("epoch", F.lit(self.epoch).cast("int")).select(*_names(_VERDICT))
         if before:
             verdicts = verdicts.unionByName(self._read("state", _VERDICT, [before]))
-        last = F.max_by(F.struct("ref_key", "at", "epoch", "reason"), F.struct("seen", "ref_key", "at", "epoch")).alias("s")
-        state = verdicts.groupBy("ref_table", "ref_field", "rec_key", "k_ref", "k_at", "versioned").agg(F.max("seen").alias("seen"), last)
-        # a reference without states that is fine now is judged again when its parent moves, and needs no row
-        self._write(state.select(*_names(_VERDICT)[:7], "s.*").where(F.col("reason").isNotNull() | F.col("versioned")), "state")
+        # a reference without states is itself its key, so the last verdict is the greatest of one number
+        code = F.col("epoch").cast("bigint") * len(_REASONS) + F.array_position(F.array(*map(F.lit, _REASONS)), F.coalesce("reason", F.lit(""))) - 1
+        plain = verdicts.where(~F.col("versioned")).groupBy("ref_table", "ref_field", "rec_key", "ref_key", "at").agg(F.max(code).alias("code"))
+        plain = plain.withColumn("reason", F.get(F.array(*map(F.lit, _REASONS)), (F.col("code") % len(_REASONS)).cast("int")))
+        # one that is fine now is judged again when its parent moves, and needs no row
+        plain = plain.where("reason <> ''").select("ref_table", "ref_field", "rec_key", "ref_key", "at", F.lit(None).cast("timestamp_ntz").alias("seen"), F.lit(False).alias("versioned"), (F.col("code") / len(_REASONS)).cast("int").alias("epoch"), "reason")
+        last = F.max(F.struct("seen", "ref_key", "at", "epoch", "reason")).alias("s")
+        states = verdicts.where("versioned").groupBy("ref_table", "ref_field", "rec_key").agg(last).select("ref_table", "ref_field", "rec_key", "s.ref_key", "s.at", "s.seen", F.lit(True).alias("versioned"), "s.epoch", "s.reason")
+        self._write(plain.unionByName(states), "state")
         delete(self.spark, f"{self.home}/state/v={before - 1}")
         delete(self.spark, f"{self.home}/came/v={self.epoch}")
         self._write(self.open().groupBy("ref_table", "ref_field", "ref_period", "reason").agg(F.count("*").alias("n_open")), "counts")
