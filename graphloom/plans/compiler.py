@@ -7,7 +7,7 @@ prunes columns, pushes filters into the scans and picks the join methods.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +42,12 @@ def col(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def about(df: DataFrame) -> float:
+    """Rows of a frame of ids by the planner's statistics, without a job; only for comparing frames."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return max(1.0, float(str(size)) / (8 * (len(df.columns) + 1)))
+
+
 def contains_aggregate(e) -> bool:
     if isinstance(e, S.Call):
         return e.name in AGGREGATES or any(map(contains_aggregate, e.args))
@@ -241,27 +247,92 @@ class Compiler:
     def hop(self, rows: Rows, at: str, edge: S.EdgePattern, target: S.NodePattern) -> tuple[Rows, str]:
         var, to = edge.var or self.hidden("e"), target.var or self.hidden("n")
         known = to in rows.scope
-        if edge.hops is not None:
-            rows = self.walk(rows, at, var, to, edge)
-        else:
-            edges, bound = self.edge_frame(var, edge.types, edge.direction)
-            on = col(f"{at}$_id") == col(f"{var}$ from")
-            if known:
-                on = on & (col(f"{to}$_id") == col(f"{var}$ to"))
-            df = rows.df.join(edges, on)
-            rows = self.filtered(Rows(df, {**rows.scope, var: bound}), var, edge.props)
-            rows.df = rows.df.withColumn(" to", col(f"{var}$ to")).drop(f"{var}$ from", f"{var}$ to")
+        rows = self.walk(rows, at, var, to, edge) if edge.hops is not None else self.step(rows, at, var, edge, to if known else None)
+        if not known:
+            return self.arrive(rows, to, target), to
+        df = rows.df.where(col(f"{to}$_id") == col(" to"))
+        if target.label:
+            df = df.where(col(f"{to}$_label") == self.store.catalog.find("vertex", target.label).name)
+        return self.filtered(Rows(df.drop(" to"), rows.scope), to, target.props), to
+
+    def step(self, rows: Rows, at: str, var: str, edge: S.EdgePattern, known: str | None) -> Rows:
+        """One edge on from ``at``, to ``known`` if that is bound; the column `` to`` is where it leads."""
+        edges, bound = self.edge_frame(var, edge.types, edge.direction)
+        on = col(f"{at}$_id") == col(f"{var}$ from")
         if known:
-            df = rows.df.where(col(f"{to}$_id") == col(" to"))
-            if target.label:
-                df = df.where(col(f"{to}$_label") == self.store.catalog.find("vertex", target.label).name)
-            rows = Rows(df.drop(" to"), rows.scope)
-        else:
-            found = self.scan(to, target.label)
-            found = self.filtered(found, to, tuple(p for p in target.props if isinstance(p[1], S.Literal)))
-            df = rows.df.join(found.df, col(" to") == col(f"{to}$_id")).drop(" to")
-            rows = Rows(df, {**rows.scope, **found.scope})
-        return self.filtered(rows, to, target.props), to
+            on = on & (col(f"{known}$_id") == col(f"{var}$ to"))
+        rows = self.filtered(Rows(rows.df.join(edges, on), {**rows.scope, var: bound}), var, edge.props)
+        return Rows(rows.df.withColumn(" to", col(f"{var}$ to")).drop(f"{var}$ from", f"{var}$ to"), rows.scope)
+
+    def arrive(self, rows: Rows, to: str, target: S.NodePattern) -> Rows:
+        """Bind the vertex in the column `` to``."""
+        found = self.scan(to, target.label)
+        found = self.filtered(found, to, tuple(p for p in target.props if isinstance(p[1], S.Literal)))
+        df = rows.df.join(found.df, col(" to") == col(f"{to}$_id")).drop(" to")
+        return self.filtered(Rows(df, {**rows.scope, **found.scope}), to, target.props)
+
+    def cycle(self, path: S.Path, where) -> Rows | None:
+        """A path back to its own start, as two arcs between two of its nodes that are joined on both.
+
+        Walked from the start, all ways round are held until the last edge
+        closes a few of them.  The two nodes are those for which the arcs hold
+        least by the sizes of the tables.  None for any other path.
+        """
+        n, start = len(path.edges), path.nodes[0].var
+        if n < 3 or start is None or path.nodes[-1].var != start or any(e.hops is not None for e in path.edges):
+            return None
+        if not all(isinstance(v, S.Literal) for x in (*path.nodes, *path.edges) for _, v in x.props):
+            return None
+        nodes = [replace(x, var=x.var or self.hidden("n")) for x in path.nodes[:n]]
+        edges = [replace(x, var=x.var or self.hidden("e")) for x in path.edges]
+        order = [x.var for pair in zip(nodes, edges) for x in pair]
+        if len(set(order)) < 2 * n:
+            return None
+        weight = [about(self.scan(x.var, x.label).df.select(col(f"{x.var}$_id"))) for x in nodes]
+        links = [about(self.edge_frame(x.var, x.types, x.direction)[0].select(col(f"{x.var}$ from"), col(f"{x.var}$ to"))) for x in edges]
+        share = [self.share(x, where, w) for x, w in zip(nodes, weight)]
+
+        def held(at: int, to: int) -> float:
+            """Rows of all steps of the arc from ``at`` to ``to``, as if ends were independent."""
+            rows = total = links[at]
+            for k in range(at + 1, to):
+                rows *= share[k % n] * links[k % n] / weight[k % n]
+                total += rows
+            return total
+
+        # the start and the last node are the ends of plain walking, which is kept when nothing holds less
+        i, j = min([(0, n - 1), *((i, j) for i in range(n) for j in range(i + 1, n))], key=lambda x: held(*x) * share[x[0]] + held(x[1], x[0] + n))
+        rows, at = self.node(None, nodes[i])
+        for k in range(i, j):
+            rows, at = self.hop(rows, at, edges[k], nodes[k + 1])
+        first = edges[j]
+        frame, bound = self.edge_frame(first.var, first.types, first.direction)
+        other = self.filtered(Rows(frame.withColumnsRenamed({f"{first.var}$ from": " from", f"{first.var}$ to": " to"}), {first.var: bound}), first.var, first.props)
+        for k in range(j + 1, i + n):
+            to = nodes[k % n]
+            other = self.step(self.arrive(other, to.var, to), to.var, edges[k % n].var, edges[k % n], None)
+        df = rows.df.join(other.df, (col(f"{at}$_id") == col(" from")) & (col(f"{nodes[i].var}$_id") == col(" to"))).drop(" from", " to")
+        if path.nodes[n].label:
+            df = df.where(col(f"{start}$_label") == self.store.catalog.find("vertex", path.nodes[n].label).name)
+        both = {**rows.scope, **other.scope}
+        return self.filtered(Rows(df, {x: both[x] for x in order}), start, path.nodes[n].props)
+
+    @staticmethod
+    def share(node: S.NodePattern, where, rows: float) -> float:
+        """About what part of a node's vertices its properties and WHERE leave."""
+        if any(k in ("id", "_id") for k, _ in node.props):
+            return 1 / rows
+        left = 0.01 if node.props else 1.0
+        open_ = [where]
+        while open_:
+            e = open_.pop()
+            if isinstance(e, S.Binary) and e.op == "and":
+                open_ += [e.left, e.right]
+            elif isinstance(e, S.Binary) and e.op == "=":
+                for x, y in ((e.left, e.right), (e.right, e.left)):
+                    if isinstance(y, S.Literal) and (isinstance(x, S.Call) and x.name in ("id", "_id") and x.args == (S.Name(node.var),) or isinstance(x, S.Property) and x.owner == node.var):
+                        left = min(left, 1 / rows if isinstance(x, S.Call) or x.name in ("id", "_id") else 0.01)
+        return left
 
     def walk(self, rows: Rows, at: str, var: str, to: str, edge: S.EdgePattern) -> Rows:
         """Variable length: distinct end points, or end points and last edges if the edge is named."""
@@ -287,6 +358,8 @@ class Compiler:
 
     def match(self, rows: Rows | None, clause: S.Match) -> Rows:
         for path in clause.paths:
+            if rows is None and (rows := self.cycle(path, clause.where)) is not None:
+                continue
             rows, at = self.node(rows, path.nodes[0])
             for edge, target in zip(path.edges, path.nodes[1:]):
                 rows, at = self.hop(rows, at, edge, target)

@@ -217,3 +217,30 @@ def test_catalog_graphs_and_errors(g, spark, tmp_path):
     assert fresh.query("backup").first()["version"] == g.store.version
     g.script("DROP EDGE SENDS; DROP VERTEX Depot")
     assert g.query("SHOW SCHEMA").count() == 0
+
+
+def test_a_cycle_is_joined_from_two_arcs(spark):
+    n = 300
+    g = GraphSession(spark)
+    g.script("CREATE VERTEX Hub (name STRING); CREATE VERTEX Leaf (name STRING); CREATE VERTEX Item (name STRING); CREATE EDGE AT (); CREATE EDGE OFFERS (); CREATE EDGE WANTS ()")
+    ids = lambda kind, of: g.query(f"INSERT VERTEX {kind} (id, name) VALUES " + ", ".join(f"({i}, 'x')" for i in of))
+    ids("Hub", [1])
+    ids("Leaf", range(10, 10 + n))
+    ids("Item", range(1000, 1000 + n))
+    link = lambda kind, pairs: g.query(f"INSERT EDGE {kind} () VALUES " + ", ".join(f"({a}, {b})" for a, b in pairs))
+    link("AT", [(10 + i, 1) for i in range(n)])
+    link("OFFERS", [(10 + i, 1000 + i) for i in range(n)])
+    link("WANTS", [(10 + i, 1000 + (i + 1) % n) for i in range(n)])
+    text = "MATCH (a:Leaf)-[:AT]->(h:Hub)<-[x:AT]-(b:Leaf)-[:OFFERS]->(i:Item)<-[:WANTS]-(a{label}) {where}RETURN id(a) AS a, id(b) AS b, id(i) AS i, x.src AS x"
+    for label, where, want in (
+        ("", "", [(10 + i, 10 + (i + 1) % n, 1000 + (i + 1) % n, 10 + (i + 1) % n) for i in range(n)]),
+        ("", "WHERE id(a) = 15 ", [(15, 16, 1006, 16)]), (":Item", "", []),
+    ):
+        found = g.query(text.format(label=label, where=where))
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    top = g.query(text.format(label="", where=""))._jdf.queryExecution().optimizedPlan()
+    while top.nodeName() != "Join":
+        top = top.children().apply(0)
+    assert "$_id" in top.children().apply(1).toString(), "all pairs of leaves at a hub are made before the cycle closes"
+    shown = g.query("MATCH (a:Leaf)-[e:AT]->(h:Hub)<-[:AT]-(b:Leaf)-[:OFFERS]->(i:Item)<-[:WANTS]-(a) RETURN * LIMIT 1").columns
+    assert [c.split("$")[0].split(".")[0] for c in shown] == ["a", "e", "h", "b", "i"]
