@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.algo import paths
 from graphloom.operators.reach import distances
 from graphloom.scratch import cut, loop_partitions, materialise
 
@@ -287,11 +288,19 @@ def betweenness(edges: DataFrame, normalized: bool = True, pivots: int | None =
     """Shortest-path betweenness of directed edges; parallel edges multiply paths; estimated from ``pivots`` as in ``closeness``.
 
     Path counts are gathered level by level from every source, then the
-    dependencies are summed back from the farthest level.
+    dependencies are summed back from the farthest level: by blocks of sources
+    in tasks that hold all edges, or by joins where the edges are too many.
     """
     starts, n, used = _sources(edges, pivots)
     scale = 1.0 if used is None else n / used
     hops = materialise(edges.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.count("*").cast("double").alias("m")), "hops")
+    total = paths.total(hops, starts, paths.dependency) if paths.fits(hops) else _dependencies(hops, starts)
+    by = (n - 1) * (n - 2) if normalized and n > 2 else 1
+    return vertices(edges).join(total, "v", "left").select(F.col("v").alias("vertex_id"), (F.coalesce("s", F.lit(0.0)) * scale / by).alias("betweenness"))
+
+
+def _dependencies(hops: DataFrame, starts: DataFrame) -> DataFrame:
+    """``v``, ``s`` by joins over all pairs."""
     levels = [cut(starts.select("start", F.col("start").alias("v"), F.lit(1.0).alias("sigma")))]
     seen = levels[0].select("start", "v")
     while True:
@@ -308,12 +317,9 @@ def betweenness(edges: DataFrame, normalized: bool = True, pivots: int | None =
         given = upper.join(hops, F.col("v") == F.col("a")).join(below, ["start", "b"]).groupBy("start", "v").agg(F.sum(F.col("m") * F.col("share")).alias("g"))
         delta = cut(upper.join(given, ["start", "v"], "left").select("start", "v", "sigma", (F.col("sigma") * F.coalesce("g", F.lit(0.0))).alias("delta")))
         parts.append(delta.where("v <> start").select("v", "delta"))
-    nodes = vertices(edges)
     if not parts:
-        return nodes.select(F.col("v").alias("vertex_id"), F.lit(0.0).alias("betweenness"))
+        return starts.select(F.col("start").alias("v"), F.lit(0.0).alias("s"))
     total = parts[0]
     for p in parts[1:]:
         total = total.unionByName(p)
-    total = total.groupBy("v").agg(F.sum("delta").alias("s"))
-    by = (n - 1) * (n - 2) if normalized and n > 2 else 1
-    return nodes.join(total, "v", "left").select(F.col("v").alias("vertex_id"), (F.coalesce("s", F.lit(0.0)) * scale / by).alias("betweenness"))
+    return total.groupBy("v").agg(F.sum("delta").alias("s"))
