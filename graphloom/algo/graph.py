@@ -277,9 +277,13 @@ def _sources(edges: DataFrame, pivots: int | None) -> tuple[DataFrame, int, int
 def closeness(edges: DataFrame, pivots: int | None = None) -> DataFrame:
     """Harmonic closeness over outgoing paths; with ``pivots`` an estimate from the paths to so many vertices."""
     starts, n, used = _sources(edges, pivots)
-    walk = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if used is None else edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    found = distances(starts, walk, n).where("depth > 0")
-    near = found.groupBy(F.col("start" if used is None else "end").alias("v")).agg(F.sum(1.0 / F.col("depth")).alias("s"))
+    hops = materialise(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct(), "hops")
+    if paths.fits(hops):
+        near = paths.total(hops, starts, paths.nearness)
+    else:
+        walk = hops if used is None else hops.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        found = distances(starts, walk, n).where("depth > 0")
+        near = found.groupBy(F.col("start" if used is None else "end").alias("v")).agg(F.sum(1.0 / F.col("depth")).alias("s"))
     by = max(n - 1, 1) if used is None else used
     return vertices(edges).join(near, "v", "left").select(F.col("v").alias("vertex_id"), (F.coalesce("s", F.lit(0.0)) / by).alias("closeness"))
 

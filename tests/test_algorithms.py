@@ -232,6 +232,16 @@ def _jobs(spark, name, made):
     return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
 
 
+def test_closeness_of_a_deep_graph_takes_few_jobs(spark):
+    n = 70  # more vertices than bits of a word
+    edges = [(i, i + 1) for i in range(n - 1)]
+    got, jobs = _jobs(spark, "closeness", lambda: graph.closeness(spark.createDataFrame([*edges, (5, 5)], "src bigint, dst bigint")))
+    assert got == pytest.approx({v: sum(1 / d for d in range(1, n - v)) / (n - 1) for v in range(n)})
+    assert jobs < 40
+    empty = spark.createDataFrame([], "src bigint, dst bigint")
+    assert graph.closeness(empty).collect() == graph.betweenness(empty).collect() == []
+
+
 def test_betweenness_of_a_deep_graph_takes_few_jobs(spark, monkeypatch):
     n = 40
     df = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src bigint, dst bigint")
