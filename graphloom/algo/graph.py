@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.algo import paths
+from graphloom.algo import cores, paths
 from graphloom.operators.reach import distances
 from graphloom.scratch import cut, loop_partitions, materialise
 
@@ -177,12 +177,15 @@ def _strong(edges: DataFrame) -> DataFrame:
 def kcore(edges: DataFrame) -> DataFrame:
     """Coreness as the fixed point of the h-index of the neighbours' values.
 
-    Neighbours are counted per vertex and value before they are ordered, so a
-    hub is as many rows as its neighbours have values.
+    Where the values of all vertices fit in a task they are sent to all; else
+    they are joined, and neighbours are counted per vertex and value before
+    they are ordered, so a hub is as many rows as its neighbours have values.
     """
     both = materialise(simple(edges), "both")
     nodes = vertices(edges)
     spark = edges.sparkSession
+    if dict(both.dtypes)["v"] in ("bigint", "int") and both.agg(F.count_distinct("v")).first()[0] <= cores.VERTICES:
+        return nodes.join(cores.coreness(both), "v", "left").select(F.col("v").alias("vertex_id"), F.coalesce("h", F.lit(0)).cast("bigint").alias("coreness"))
     falling = Window.partitionBy("v").orderBy(F.desc("h"))
     with loop_partitions(spark, both.count()) as parts:
         both = both.repartition(parts, "o").persist()

@@ -254,3 +254,20 @@ def test_betweenness_of_a_deep_graph_takes_few_jobs(spark, monkeypatch):
     sent = score(graph.betweenness(many)), score(graph.closeness(many))
     monkeypatch.setattr(graph.paths, "EDGES", 0)  # by joins
     assert sent == (pytest.approx(score(graph.betweenness(many))), pytest.approx(score(graph.closeness(many))))
+
+
+def test_coreness_of_a_deep_graph_takes_few_jobs(spark, monkeypatch):
+    n = 50
+    df = spark.createDataFrame([(i, i + 1) for i in range(n - 1)] + [(100, 100)], "src bigint, dst bigint")
+    got, jobs = _jobs(spark, "kcore", lambda: graph.kcore(df))
+    assert got == {**dict.fromkeys(range(n), 1), 100: 0}
+    assert jobs < 30
+    r = random.Random(5)
+    edges = [(r.randrange(30), r.randrange(30)) for _ in range(120)]
+    some = spark.createDataFrame(edges, "src bigint, dst bigint")
+    score = lambda made: {x[0]: x[1] for x in made.collect()}
+    monkeypatch.setattr(graph.cores, "LINKS", 40)  # several tasks
+    assert score(graph.kcore(some)) == _brute(edges)["kcore"]
+    monkeypatch.setattr(graph.cores, "VERTICES", 0)  # by joins
+    assert score(graph.kcore(some)) == _brute(edges)["kcore"]
+    assert graph.kcore(some.where("src > 99")).collect() == []
