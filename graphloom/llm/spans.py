@@ -23,6 +23,7 @@ equal strings merged, travels as single windows routed by all their characters.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from math import ceil
 
 import numpy as np
@@ -36,14 +37,15 @@ HEAVY = 300_000  # windows of one minimiser beyond which they are routed apart
 _STEP = 32  # positions of a heavy minimiser that are routed together
 _BITS = 20  # of a packed minimum for the position
 _SEGMENT = 1 << 19  # windows of one text hashed at once
-_CHUNK = 1 << 18  # characters hashed at once
+_CHUNK = 1 << 16  # characters hashed at once; arrays of so many stay in the cache of a core
 _FLUSH = 1 << 23  # characters of packed strings per flush
-_WINDOWS = 1 << 19  # windows sorted at once
+_WINDOWS = 1 << 17  # windows sorted at once
 _BUCKET = 4_000_000  # characters of text per bucket
 _PARTITIONS = 10_000  # beyond so many buckets, several share a task
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _NONE = np.empty(0, np.uint64)
+_SPOT = np.uint64((1 << _BITS) - 1)
 _PACKED = pa.schema([("bucket", pa.int32()), ("meta", pa.binary()), ("packed", pa.binary())])
 _COUNTS = pa.schema([("v", pa.int64()), ("n", pa.int64())])
 
@@ -52,14 +54,35 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def _mixed(points: np.ndarray, k: int) -> np.ndarray:
-    x = (points.astype(np.uint64) + np.uint64(1)) * _ODD[k]
+@cache
+def _codes() -> np.ndarray:
+    """A mixed number for every code point."""
+    x = np.arange(1, 0x110001, dtype=np.uint64) * _ODD[0]
     x ^= x >> np.uint64(29)
-    x *= _ODD[(k + 1) % 4]
+    x *= _ODD[1]
     x ^= x >> np.uint64(32)
     return x
 
 
+@cache
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``2**bits`` powers of a number and of its inverse, modulo 2**64."""
+    tables = []
+    for base in (int(_ODD[3]), pow(int(_ODD[3]), -1, 1 << 64)):
+        x = np.full(1 << bits, base, np.uint64)
+        x[0] = 1
+        tables.append(np.cumprod(x, dtype=np.uint64))
+    return tables[0], tables[1]
+
+
+def _sums(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the first characters, each by its power, and the inverse powers: a difference by the inverse at its start hashes a substring of any size."""
+    powers, inverse = _powers(max(len(points), 1 << 16).bit_length())
+    sums = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum(_codes().take(points) * powers[: len(points)], out=sums[1:])
+    return sums, inverse
+
+
 def _polynomial(h: np.ndarray, size: int, base: np.uint64) -> np.ndarray:
     """Hashes of all substrings of ``size`` elements, modulo 2**64; doubled up from single elements."""
     have = 1
@@ -76,11 +99,12 @@ def window_minimisers(points: np.ndarray, length: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     seed = min(SEED, length)
-    h = _polynomial(_mixed(points, 0), seed, _ODD[2])
+    h = _polynomial(_codes().take(points), seed, _ODD[2])
     h ^= h >> np.uint64(31)
     h *= _ODD[1]
     h ^= h >> np.uint64(30)
-    h = (h & ~np.uint64((1 << _BITS) - 1)) | np.arange(len(h), dtype=np.uint64)
+    h &= ~_SPOT
+    h |= np.arange(len(h), dtype=np.uint64)
     span, have = length - seed + 1, 1
     while have < span:
         step = min(have, span - have)
@@ -96,15 +120,23 @@ def _segments(ids: list, texts: list[str], length: int) -> Iterator[tuple[int, i
             yield i, at, t[at : at + _SEGMENT + length - 1] if len(t) > _SEGMENT else t
 
 
-def _windows(texts: list[str], length: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """The joined text and for every window its text, its position in the joined text, and its packed minimiser."""
+def _windows(texts: list[str], length: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts and the packed minimisers of all places in them; of each run of windows with one minimiser its text, place and windows.
+
+    No text is shorter than ``length``.
+    """
     joined = "".join(texts)
     lens = np.array([len(t) for t in texts], np.int64)
-    mins = window_minimisers(_points(joined), length)
-    counts = np.maximum(lens - length + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(np.cumsum(lens) - lens, counts)
-    return joined, owner, at, mins[at]
+    packed = window_minimisers(_points(joined), length)
+    begins = np.cumsum(lens) - lens
+    stops = begins + lens - length + 1  # windows from there on reach into the next text
+    turns = np.flatnonzero((packed[1:] ^ packed[:-1]) > _SPOT) + 1
+    edges = np.sort(np.concatenate([begins, stops, turns]))
+    n = np.diff(edges)
+    edges = edges[:-1]
+    owner = np.searchsorted(begins, edges, "right") - 1
+    keep = (n > 0) & (edges < stops[owner])
+    return joined, packed, owner[keep], edges[keep], n[keep]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
@@ -139,10 +171,9 @@ def _count(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     size = 0
     for _, _, texts in _chunks(batches, length):
         held.append((np.array([-1]).view(np.uint64), np.array([sum(map(len, texts))])))
-        v = _windows(texts, length)[3] >> np.uint64(_BITS)
-        starts = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
-        held.append((v[starts], np.diff(np.append(starts, len(v)))))
-        size += len(v)
+        _, packed, _, at, n = _windows(texts, length)
+        held.append((packed[at] >> np.uint64(_BITS), n))
+        size += int(n.sum())
         if size >= _FLUSH:
             yield _counts(*map(np.concatenate, zip(*held)))
             held, size = [], 0
@@ -151,7 +182,7 @@ def _count(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 
 
 def _count_steps(batches: Iterator[pa.RecordBatch], length: int, heavy) -> Iterator[pa.RecordBatch]:
-    """Windows per routing key of heavy minimisers, strings of a flush that agree in key and both ends counted once."""
+    """Windows per routing key of heavy minimisers, equal strings of a flush counted once."""
     held: list[tuple] = []
     size = 0
 
@@ -186,42 +217,41 @@ def _mix(key: np.ndarray) -> np.ndarray:
 def _runs(texts: list[str], length: int, heavy: np.ndarray, hotter: np.ndarray = _NONE) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Super-k-mers of a chunk: the joined text, and of each run its text, position, windows and routing key.
 
-    Runs of heavy minimisers come last; of those also a hash of both ends.
+    Runs of heavy minimisers come last; of those also a hash of key and characters.
     """
-    joined, owner, at, packed = _windows(texts, length)
-    v = packed >> np.uint64(_BITS)
-    new = np.ones(len(at), bool)
-    new[1:] = (v[1:] != v[:-1]) | (owner[1:] != owner[:-1])
-    starts = np.flatnonzero(new)
-    n = np.diff(np.append(starts, len(at)))
-    hot = _among(v[starts], heavy)
-    w, runs = starts[~hot], n[~hot]
-    key, ends = _mix(v[w] * _ODD[0]), _NONE
+    joined, packed, owner, at, n = _windows(texts, length)
+    v = packed[at] >> np.uint64(_BITS)
+    hot = _among(v, heavy)
+    key, ends = _mix(v * _ODD[0]), _NONE
     if hot.any():  # runs of heavy minimisers are cut into steps
         step = min(_STEP, length)
-        each = np.repeat(starts[hot] - (np.cumsum(n[hot]) - n[hot]), n[hot]) + np.arange(n[hot].sum())
-        spot = (packed[each] & np.uint64((1 << _BITS) - 1)).astype(np.int64)
-        block = (spot - at[each]) // step
+        run = np.repeat(np.flatnonzero(hot), n[hot])
+        each = np.repeat(at[hot] - (np.cumsum(n[hot]) - n[hot]), n[hot]) + np.arange(len(run))
+        spot = (packed[each] & _SPOT).astype(np.int64)
+        block = (spot - each) // step
         cut = np.ones(len(each), bool)
-        cut[1:] = new[each[1:]] | (spot[1:] != spot[:-1]) | (block[1:] != block[:-1])
+        cut[1:] = (run[1:] != run[:-1]) | (spot[1:] != spot[:-1]) | (block[1:] != block[:-1])
         cut = np.flatnonzero(cut)
         m = np.diff(np.append(cut, len(each)))
-        common = _polynomial(_mixed(_points(joined), 1), length - step + 1, _ODD[2])  # of the characters that all windows of a step have
-        far_key = _mix(_mix(v[each[cut]] * _ODD[0]) ^ (common[spot[cut] - block[cut] * step] + block[cut].astype(np.uint64)))
+        sums, inverse = _sums(_points(joined))
+
+        def hashed(first: np.ndarray, size: int | np.ndarray) -> np.ndarray:
+            return (sums[first + size] - sums[first]) * inverse[first]
+
+        common = hashed(spot[cut] - block[cut] * step, length - step + 1)  # of the characters that all windows of a step have
+        far_key = _mix(_mix(v[run[cut]] * _ODD[0]) ^ (common + block[cut].astype(np.uint64)))
         if (far := _among(far_key, hotter)).any():  # single windows by all their characters
-            single = np.repeat(far, m)
             lone = np.zeros(len(each), bool)
             lone[cut] = True
-            lone |= single
-            run = (np.cumsum(np.bincount(cut, minlength=len(each))) - 1)[lone]
+            lone |= np.repeat(far, m)
+            of = (np.cumsum(np.bincount(cut, minlength=len(each))) - 1)[lone]
             cut = np.flatnonzero(lone)
-            m, far_key, far = np.where(far[run], 1, m[run]), far_key[run], far[run]
-            first = at[each[cut[far]]]
-            far_key[far] = _mix(common[first] * _ODD[1] + common[first + step - 1])
-        first = at[each[cut]]
-        ends = _mix(far_key ^ _mix(common[first] * _ODD[1] + common[first + m - 1 + step - 1]))
-        w, runs, key = np.concatenate([w, each[cut]]), np.concatenate([runs, m]), np.concatenate([key, far_key])
-    return joined, owner[w], at[w], runs, key, ends
+            m, far_key, far = np.where(far[of], 1, m[of]), far_key[of], far[of]
+            far_key[far] = _mix(hashed(each[cut[far]], length))
+        ends = _mix(far_key ^ _mix(hashed(each[cut], length + m - 1)))
+        owner, at = np.concatenate([owner[~hot], owner[run[cut]]]), np.concatenate([at[~hot], each[cut]])
+        n, key = np.concatenate([n[~hot], m]), np.concatenate([key[~hot], far_key])
+    return joined, owner, at, n, key, ends
 
 
 def _union(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -303,52 +333,72 @@ def _equal(points: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.
     return out
 
 
+def _hashes(points: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the windows at ``at``, which ascends; by blocks that stay in the cache of a core."""
+    out = np.empty(len(at), np.uint64)
+    block = max(1 << 15, 4 * length)
+    for lo in range(0, len(points) - length + 1, block):
+        sums, inverse = _sums(points[lo : lo + block + length - 1])
+        h = sums[length:] - sums[:-length]
+        h *= inverse[: len(h)]
+        i, j = np.searchsorted(at, (lo, lo + block))
+        out[i:j] = h[at[i:j] - lo]
+    return out
+
+
 def _groups(points: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The windows in groups, and where each group starts; two are in one group if and only if they agree in all characters.
+    """The windows that have equals, in groups, and where each group starts; two are in one group if and only if they agree in all characters.
 
     Windows of one hash are compared with the first of them.  After a window
     that is equal to its first, the next one of the same string differs from
     the next one there in the last character or not at all, so whole
     comparisons are made where a match begins only.
     """
-    h = _polynomial(_mixed(points, 1), length, _ODD[0])[at]
-    order = np.argsort(h)
-    starts = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
-    first = np.empty(len(h), np.int64)
-    first[order] = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, len(h))))
-    follows = np.zeros(len(h), bool)
-    follows[1:] = (first[1:] == first[:-1] + 1) & (owner[1:] == owner[:-1])
-    follows[1:] &= owner[first[1:]] == owner[first[:-1]]
-    other = first != np.arange(len(h))
-    tail, whole = np.flatnonzero(other & follows), np.flatnonzero(other & ~follows)
-    if (points[at[tail] + length - 1] == points[at[first[tail]] + length - 1]).all() and _equal(points, at[whole], at[first[whole]], length).all():
+    h = _hashes(points, at, length)
+    low = np.uint64((1 << len(h).bit_length()) - 1)  # bits that give way to the window, so that numbers alone are sorted
+    h &= ~low
+    h |= np.arange(len(h), dtype=np.uint64)
+    h.sort()
+    new = np.ones(len(h) + 1, bool)
+    np.greater(h[1:] ^ h[:-1], low, out=new[1:-1])
+    several = ~(new[1:] & new[:-1])
+    order, new = (h[several] & low).astype(np.int64), new[:-1][several]
+    starts = np.flatnonzero(new)
+    first = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
+    lead = np.full(len(h), -2)
+    lead[order] = first
+    i, f = order[~new], first[~new]
+    follows = (lead[i - 1] == f - 1) & (owner[i - 1] == owner[i]) & (owner[f - 1] == owner[f])
+    tail, whole = at[i[follows]] + length - 1, ~follows
+    if (points[tail] == points[at[f[follows]] + length - 1]).all() and _equal(points, at[i[whole]], at[f[whole]], length).all():
         return order, starts
     # different windows have one hash: these groups are told apart by the characters themselves
-    i = np.flatnonzero(other)
-    clash = np.isin(first, first[i[~_equal(points, at[i], at[first[i]], length)]])
+    clash = np.isin(first, f[~_equal(points, at[i], at[f], length)])
     number: dict[bytes, int] = {}
     for j in np.flatnonzero(clash).tolist():
-        first[j] = number.setdefault(points[at[j] : at[j] + length].tobytes(), j)
-    order = np.argsort(first)
-    return order, np.flatnonzero(np.append(True, np.diff(first[order]) != 0))
+        a = at[order[j]]
+        first[j] = number.setdefault(points[a : a + length].tobytes(), order[j])
+    line = np.argsort(first)
+    return order[line], np.flatnonzero(np.append(True, np.diff(first[line]) != 0))
 
 
-def _shared_windows(pieces: list[bytes], low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _shared_windows(pieces: list[str], low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches (string, first, after the last) of windows that occur in two records; low and high: records holding a string."""
-    counts = np.array([len(p) for p in pieces], np.int32) // np.int32(4) - np.int32(length - 1)
+    counts = np.array([len(p) for p in pieces], np.int64) - (length - 1)
     ends = np.cumsum(counts)
     n = int(ends[-1])
     owner = np.repeat(np.arange(len(pieces), dtype=np.int32), counts)
     at = np.arange(n) + owner.astype(np.int64) * (length - 1)
-    order, starts = _groups(np.frombuffer(b"".join(pieces), np.uint32), at, owner, length)
-    by = owner[order]
-    lo, hi = np.minimum.reduceat(low[by], starts), np.maximum.reduceat(high[by], starts)
-    flags = np.empty(n, bool)
-    flags[order] = np.repeat(lo != hi, np.diff(np.append(starts, n)))
+    order, starts = _groups(_points("".join(pieces)), at, owner, length)
+    flags = np.repeat(low != high, counts)
+    if len(order):
+        by = owner[order]
+        lo, hi = np.minimum.reduceat(low[by], starts), np.maximum.reduceat(high[by], starts)
+        flags[order] = np.repeat(lo != hi, np.diff(np.append(starts, len(order))))
     opens, closes = flags.copy(), flags.copy()
-    same = owner[1:] == owner[:-1]
-    opens[1:] &= ~(flags[:-1] & same)
-    closes[:-1] &= ~(flags[1:] & same)
+    opens[1:] &= ~flags[:-1]
+    closes[:-1] &= ~flags[1:]
+    opens[ends - counts], closes[ends - 1] = flags[ends - counts], flags[ends - 1]
     first, last = np.flatnonzero(opens), np.flatnonzero(closes)
     base = (ends - counts)[owner[first]]
     return owner[first], first - base, last + 1 - base
@@ -384,17 +434,16 @@ def _solve(rows: list[tuple[bytes, bytes]], length: int) -> Iterator[tuple[np.nd
     if not len(wanted):
         return
     # equal strings of different flushes are merged
-    number: dict[bytes, int] = {}
+    number: dict[str, int] = {}
     piece_of = np.full(n_strings, -1, np.int64)
-    pieces: list[bytes] = []
     keep = np.zeros(n_strings, bool)
     keep[wanted] = True
     for i, (_, packed) in enumerate(rows):
         mine = np.flatnonzero(keep & (src == i))
         if not len(mine):
             continue
-        text = unpack.decompress(packed).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
-        piece_of[mine] = [number.setdefault(text[a:b], len(number)) for a, b in zip((4 * off[mine]).tolist(), (4 * (off[mine] + size[mine])).tolist())]
+        text = unpack.decompress(packed).decode("utf-8", "surrogatepass")
+        piece_of[mine] = [number.setdefault(text[a:b], len(number)) for a, b in zip(off[mine].tolist(), (off[mine] + size[mine]).tolist())]
     pieces = list(number)
     number.clear()
     by_piece = wanted[np.argsort(piece_of[wanted], kind="stable")]

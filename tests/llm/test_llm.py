@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -282,6 +283,45 @@ def test_a_heavy_minimiser_is_spread_over_buckets(monkeypatch):
     assert packed.nbytes < 10_000
 
 
+def test_passes_over_texts_work_in_arrays_that_fit_a_cache():
+    r = random.Random(13)
+    texts = ["".join(r.choices("abcdefgh ", k=2000)) for _ in range(800)]
+    batch = [pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])]
+
+    class Lots:
+        value = (spans._NONE, spans._NONE)
+
+    def most(step):
+        list(step())  # tables are made once
+        tracemalloc.start()
+        list(step())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    assert most(lambda: spans._count(iter(batch), 160)) < 8_000_000
+    again = [pa.RecordBatch.from_arrays([pa.array(range(900, 900 + len(texts)), pa.int64()), batch[0].column(1)], ["doc_id", "text"])]
+    packed = [b for part in (batch, again) for b in spans._pack(iter(part), 160, 1, Lots)]
+    assert most(lambda: spans._buckets(iter(packed), 160)) < 60_000_000
+
+
+@pytest.mark.parametrize("length", [7, 160])
+def test_windows_that_have_equals_are_grouped_across_blocks(length):
+    r = random.Random(14)
+    base = "".join(r.choices("abcdé中😀", k=3000))
+    pieces = [base[a : a + r.randrange(length, 900)] for a in (r.randrange(2000) for _ in range(300))]
+    counts = [len(p) - length + 1 for p in pieces]
+    owner = np.repeat(np.arange(len(pieces)), counts)
+    joined = "".join(pieces)
+    at = np.arange(len(owner)) + owner * (length - 1)
+    assert len(joined) > 2 << 15
+    order, starts = spans._groups(spans._points(joined), at, owner, length)
+    groups = defaultdict(list)
+    for i, a in enumerate(at.tolist()):
+        groups[joined[a : a + length]].append(i)
+    assert sorted(sorted(g.tolist()) for g in np.split(order, starts[1:])) == sorted(g for g in groups.values() if len(g) > 1)
+
+
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "hello world"), (2, ""), (3, None), (4, "<|endoftext|>")], "i int, t string")
     assert [r[1] for r in df.select("i", count_tokens(F.col("t"))).orderBy("i").collect()][:3] == [2, 0, 0]
