@@ -38,9 +38,9 @@ _STEP = 32  # positions of a heavy minimiser that are routed together
 _BITS = 20  # of a packed minimum for the position
 _SEGMENT = 1 << 19  # windows of one text hashed at once
 _CHUNK = 1 << 16  # characters hashed at once; arrays of so many stay in the cache of a core
-_FLUSH = 1 << 23  # characters of packed strings per flush
+_FLUSH = 1 << 26  # characters of packed strings per flush
 _WINDOWS = 1 << 17  # windows sorted at once
-_BUCKET = 4_000_000  # characters of text per bucket
+_BUCKET = 8_000_000  # characters of text per bucket
 _PARTITIONS = 10_000  # beyond so many buckets, several share a task
 
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]

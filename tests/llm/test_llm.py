@@ -305,6 +305,18 @@ def test_passes_over_texts_work_in_arrays_that_fit_a_cache():
     assert most(lambda: spans._buckets(iter(packed), 160)) < 60_000_000
 
 
+def test_a_bucket_gets_few_records_of_a_task():
+    r = random.Random(15)
+    texts = ["".join(r.choices("abcdefgh ", k=40_000)) for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+
+    class Lots:
+        value = (spans._NONE, spans._NONE)
+
+    buckets = pa.Table.from_batches(spans._pack(iter([batch]), 160, 64, Lots))["bucket"].to_pylist()
+    assert len(set(buckets)) == len(buckets) == 64
+
+
 @pytest.mark.parametrize("length", [7, 160])
 def test_windows_that_have_equals_are_grouped_across_blocks(length):
     r = random.Random(14)
